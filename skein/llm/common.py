@@ -49,3 +49,30 @@ def discard(*frames: DataFrame) -> None:
 def text_of(docs: DataFrame, text: str = "text") -> Column:
     """The whole text, a null one as empty."""
     return F.coalesce(docs[text], F.lit(""))
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words between the ASCII white space characters, with A-Z lower-cased; bytes.split() cuts at exactly these."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class WordHashes:
+    """64-bit hashes of words, kept in a dictionary of bounded size."""
+
+    def __init__(self, limit: int = 500_000):
+        self.limit, self.known = limit, {}
+
+    def __call__(self, words: list):
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = xxh3_64_intdigest(w)
+            return np.array([known[w] for w in words], np.uint64)

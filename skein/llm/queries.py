@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import context_tree, decontamination, html_text, media, minhash, packing, repeats, secrets, sharding, toxicity
 
 
 def queries() -> dict:
-    return {"op4_sharding": sharding.op4_sharding}
+    return {
+        "op1_media": media.op1_media,
+        "op2_secrets": secrets.op2_secrets,
+        "op3_minhash": minhash.op3_minhash,
+        "op4_sharding": sharding.op4_sharding,
+        "op5_context_tree": context_tree.op5_context_tree,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op7_decontamination": decontamination.op7_decontamination,
+        "op8_html": html_text.op8_html,
+        "op9_packing": packing.op9_packing,
+        "op10_suffix": repeats.op10_suffix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
