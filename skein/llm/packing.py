@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 def pack(made: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The rows of made (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     n = made.filter(F.col("length") < capacity).count()
-    groups = max(1, -(-n // group))
+    groups, columns = max(1, -(-n // group)), list(made.columns)
     salted = made.withColumn("_salt", F.xxhash64("doc_id", "piece", "length", "ids_crc32"))
     full = salted.filter(F.col("length") >= capacity).select(*made.columns, (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # equal rows differ by their place, so that copies of a row without id don't meet in one group
@@ -113,7 +113,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
             for i in inside:
                 seq[i], off[i] = (int(key[0]) << 32) + k, at
                 at += lengths[i]
-        return pdf[list(made.columns)].assign(sequence_id=seq, offset=off)
+        return pdf[columns].assign(sequence_id=seq, offset=off)
 
     packed = rest.groupBy("_group").applyInPandas(one, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return full.unionByName(packed)

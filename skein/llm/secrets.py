@@ -85,6 +85,14 @@ def judged(token: Column) -> Column:
     return F.struct(random.alias("random"), F.floor(bits / STEP).cast("int").alias("bin"), F.when(m < 32, 0).when(m < 64, 1).otherwise(2).alias("stratum"))
 
 
+def as_kind(spans: Column, k: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+
+
+def count_of(spans: str, k: int) -> Column:
+    return F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
+
+
 def least_bins(found: DataFrame) -> dict[int, int]:
     """The least bin that is a discovery in each stratum, by Benjamini-Hochberg on the histogram of all candidates."""
     hist = found.select(F.explode("more").alias("c")).groupBy("c.judged.stratum", "c.judged.bin").count().collect()  # 3 strata, bins by length only
@@ -105,7 +113,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Defined results: a null or empty text has no spans; repeated rows each give theirs; names of columns can't clash,
     since docs' own are inside row; an empty table gives no rows."""
     text = F.coalesce(docs["text"], F.lit(""))
-    kinds = [F.transform(matches(text, p, g, n), lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, (_, p, g, n) in enumerate(PATTERNS)]
+    kinds = [as_kind(matches(text, p, g, n), k) for k, (_, p, g, n) in enumerate(PATTERNS)]
     first = docs.select(F.struct(*docs.columns).alias("row"), F.array_sort(F.concat(*kinds)).alias("base"), matches(text, CANDIDATE, 0, 20).alias("cand"))
     free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     more = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), judged(c["token"]).alias("judged")))
@@ -116,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
         taken = F.filter("more", lambda c: c["judged"]["random"] & (c["judged"]["bin"] >= limit(c["judged"]["stratum"])))
     else:
         taken = F.filter("more", lambda c: F.lit(False))
-    extra = F.transform(taken, lambda c: F.struct(c["start"].alias("start"), F.lit(len(PATTERNS)).alias("kind"), c["end"].alias("end")))
+    extra = as_kind(taken, len(PATTERNS))
     return found.select("row", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
@@ -127,7 +135,7 @@ def named(spans: Column) -> Column:
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(PATTERNS)]
+    n = [count_of("base", k).alias(f"n_{name}") for k, (name, *_) in enumerate(PATTERNS)]
     return out.select(F.col("row.doc_id").alias("doc_id"), *n, F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 

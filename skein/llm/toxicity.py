@@ -164,16 +164,18 @@ def thresholds(rows: list[tuple[str, float, int]], start: float = THRESHOLD) ->
     return out
 
 
-FOLD = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+def fold() -> Column:
+    """Rows in fold 2 are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), FOLD != 2)
+    model = fit(docs, table(spark, sf_dir, "labels"), fold() != 2)
     out = scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
-    return out.select("doc_id", F.coalesce(FOLD == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    model = fit(docs, labels, FOLD != 2)
+    model = fit(docs, labels, fold() != 2)
     return scored(docs, model).filter(F.col("score") < THRESHOLD).select("row.*")
