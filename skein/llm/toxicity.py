@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 8, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 #: The model is fitted on so many labelled rows of each class at most, chosen by a hash, of so many code points at most.
 SAMPLE, SAMPLE_CHARS, EPOCHS, THRESHOLD = 2500, 20_000, 6, 0.3
 WORD = re.compile(r"\w+")
@@ -37,22 +37,33 @@ class Buckets:
         return np.array([0] * (WIDTHS[-1] - 1) + [known[w] for w in words] + [0] * (WIDTHS[-1] - 1), np.int32)
 
 
+def activations(model: dict, x):
+    """For each width, the filters' activations (filters, places): sums of rows of the tables, contiguous along the text."""
+    for w in WIDTHS:
+        n, tab = len(x) - w + 1, model["table"][w]
+        act = tab[0].take(x[:n], axis=1)
+        for j in range(1, w):
+            act += tab[j].take(x[j : j + n], axis=1)
+        act += model["bias"][w][:, None]
+        yield act
+
+
 def pooled(model: dict, x):
     """Each filter's maximum over the text and the place of it."""
     import numpy as np
 
     best, at = [], []
-    for w in WIDTHS:
-        n = len(x) - w + 1
-        act = model["bias"][w] + sum(model["table"][w][j][x[j : j + n]] for j in range(w))
-        at.append(act.argmax(axis=0))
-        best.append(act[at[-1], np.arange(FILTERS)])
+    for act in activations(model, x):
+        at.append(act.argmax(axis=1))
+        best.append(act[np.arange(FILTERS), at[-1]])
     return np.maximum(np.concatenate(best), 0), at
 
 
 def tables(model: dict) -> None:
-    """The filters applied to every embedding once: a text's activations are then sums of rows."""
-    model["table"] = {w: [model["emb"] @ model["conv"][w][j] for j in range(w)] for w in WIDTHS}
+    """The filters applied to every embedding once: (filters, buckets) for each width and place in it."""
+    import numpy as np
+
+    model["table"] = {w: [np.ascontiguousarray((model["emb"] @ model["conv"][w][j]).T, dtype=np.float32) for j in range(w)] for w in WIDTHS}
 
 
 def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
@@ -69,11 +80,12 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
     size = np.maximum(1, [sum(y == k for _, y in odds_part) for k in (0, 1)])
     odds = np.log((counts[1] + 1) / (size[1] + 2)) - np.log((counts[0] + 1) / (size[0] + 2))
     odds *= counts.sum(axis=0) / (counts.sum(axis=0) + 10)
-    model = {"emb": rng.normal(0, 0.1, (BUCKETS, DIM)), "conv": {w: rng.normal(0, 0.2, (w, DIM, FILTERS)) for w in WIDTHS}, "bias": {w: np.zeros(FILTERS) for w in WIDTHS}, "out": np.full(FILTERS * len(WIDTHS), 0.2), "b": 0.0, "scale": 1.0, "shift": 0.0}
+    model = {"emb": rng.normal(0, 0.02, (BUCKETS, DIM)), "conv": {w: rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS}, "bias": {w: np.full(FILTERS, -1.0, np.float32) for w in WIDTHS}, "out": np.full(FILTERS * len(WIDTHS), 0.15), "b": -1.5, "scale": 1.0, "shift": 0.0}
     model["emb"][:, 0] = odds
     model["emb"][0] = 0
     for w in WIDTHS:
-        model["conv"][w][:, 0, :] = 0.5 / w
+        model["conv"][w][:, 0, :] = rng.uniform(0.6, 1.0, (w, FILTERS))
+    share = len(fit_part) / np.maximum(1, 2 * np.bincount([y for _, y in fit_part], minlength=2))  # classes weigh alike
     rate = 0.05
     for epoch in range(EPOCHS):
         for start in range(0, len(fit_part), 50):
@@ -84,6 +96,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
             for x, y in batch:
                 f, at = pooled(model, x)
                 g = 1 / (1 + np.exp(-np.clip(f @ model["out"] + model["b"], -30, 30))) - y
+                g *= share[y]
                 grad_out += g * f
                 grad_b += g
                 back = g * model["out"] * (f > 0)
@@ -94,7 +107,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
                 e = model["emb"][words]  # filters, width, dim
                 np.add.at(model["emb"], (words,), -step * np.einsum("f,wdf->fwd", g, model["conv"][w]))
                 model["conv"][w] -= step / n * np.einsum("f,fwd->wdf", g, e)
-                model["bias"][w] -= step / n * g
+                model["bias"][w] -= (step / n * g).astype(np.float32)
             model["emb"][0] = 0
             model["out"] -= step * grad_out / n
             model["b"] -= step * grad_b / n
@@ -103,15 +116,21 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
         z = np.array([raw(model, x) for x, _ in held])
         y = np.array([y for _, y in held], float)
         a, c = 1.0, 0.0
-        for _ in range(300):
-            g = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30))) - y
-            a, c = max(0.1, a - 0.1 * (g * z).mean() / (1 + z.var())), c - 0.3 * g.mean()
+        for _ in range(30):  # Newton steps of a logistic fit with a weak prior on the scale
+            q = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
+            v = q * (1 - q) + 1e-6
+            h = np.array([[(v * z * z).sum() + 1, (v * z).sum()], [(v * z).sum(), v.sum() + 0.01]])
+            move = np.linalg.solve(h, np.array([((q - y) * z).sum() + (a - 1), (q - y).sum() + 0.01 * c]))
+            a, c = a - np.clip(move[0], -1, 1), c - np.clip(move[1], -2, 2)
+        a = max(0.1, a)
         model["scale"], model["shift"] = a, c
     return {k: v for k, v in model.items() if k not in ("emb", "conv")}
 
 
 def raw(model: dict, x) -> float:
-    f, _ = pooled(model, x)
+    import numpy as np
+
+    f = np.maximum(np.concatenate([act.max(axis=1) for act in activations(model, x)]), 0)
     return float(f @ model["out"] + model["b"])
 
 
