@@ -60,42 +60,62 @@ def describe(rows: int = ROWS, bands: int = BANDS, k: int = WORDS):
                 for doc_id, text in zip(b["doc_id"].iloc[at : at + 500], b["text"].iloc[at : at + 500]):
                     s = shingle_hashes(word_bytes(text), hashes, k)
                     if not len(s):
-                        out.append((doc_id, 0, 0, None, None, None))
+                        out.append((doc_id, 0, 0, None, None))
                         continue
                     sig = np.full(len(mult), 2**64 - 1, np.uint64)
                     for c in range(0, len(s), 2000):
                         sig = np.minimum(sig, (s[None, c : c + 2000] * mult[:, None] + add[:, None]).min(axis=1))
                     keys = [signed(xxh3_64_intdigest(sig[i * rows : (i + 1) * rows].tobytes(), i)) for i in range(bands)]
-                    out.append((doc_id, len(s), signed(xxh3_64_intdigest(s.tobytes())), keys, (sig >> np.uint64(48)).astype(np.uint16).tobytes(), s.tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands", "sig", "shingles"])
+                    out.append((doc_id, len(s), signed(xxh3_64_intdigest(s.tobytes())), keys, (sig >> np.uint64(48)).astype(np.uint16).tobytes()))
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands", "sig"])
 
-    return run, "doc_id long, n_shingles long, set_hash long, bands array<long>, sig binary, shingles binary"
+    return run, "doc_id long, n_shingles long, set_hash long, bands array<long>, sig binary"
 
 
-def verify(percent: int = PERCENT, floor: float = SIGNATURE_FLOOR):
+def alike(floor: float = SIGNATURE_FLOOR):
+    """The pairs whose signatures agree in enough minima."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
 
+        for p in batches:
+            keep = [np.mean(np.frombuffer(a, np.uint16) == np.frombuffer(b, np.uint16)) >= floor for a, b in zip(p.pop("sig_a"), p.pop("sig_b"))]
+            yield p[np.array(keep, bool)]
+
+    return run
+
+
+def verify(percent: int = PERCENT):
+    """The pairs whose full sets, made again from the texts, are similar enough. A text of the same doc_id but another
+    class is told by its set's hash."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        from xxhash import xxh3_64_intdigest
+
+        hashes, last = WordHashes(), (None, None)
         for p in batches:
             keep = []
-            for sa, sb, xa, xb in zip(p["sig_a"], p["sig_b"], p["set_a"], p["set_b"]):
-                if np.mean(np.frombuffer(sa, np.uint16) == np.frombuffer(sb, np.uint16)) < floor:
-                    keep.append(False)
-                    continue
-                x, y = np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)
+            for ta, tb, ha, hb in zip(p.pop("text_a"), p.pop("text_b"), p.pop("hash_a"), p.pop("hash_b")):
+                if ta != last[0]:
+                    last = (ta, shingle_hashes(word_bytes(ta), hashes))
+                x, y = last[1], shingle_hashes(word_bytes(tb), hashes)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pd.DataFrame({"a": p["a"][keep], "b": p["b"][keep]})
+                same = all(h % (1 << 64) == xxh3_64_intdigest(s.tobytes()) for h, s in ((ha, x), (hb, y)))
+                keep.append(same and 100 * both >= percent * (len(x) + len(y) - both))
+            yield p[np.array(keep, bool)]
 
     return run
 
 
-def linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(verify(), "a long, b long")
+def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough: first by signature, then by the texts of those left."""
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("set_hash").alias(f"hash_{c}"))
+    close = materialize(pairs.join(side("b"), "b").join(side("a"), "a").mapInPandas(alike(), "a long, b long, hash_a long, hash_b long"), "close")
+    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = materialize(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
+    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
+    return close.join(of("b"), "b").join(of("a"), "a").mapInPandas(verify(), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,13 +160,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = made.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = some.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep"))
     chosen = some.join(reps.select(F.col("rep").alias("doc_id"), F.col("set_hash")), ["doc_id", "set_hash"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    classes = chosen.select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "shingles")
+    classes = chosen.select(F.col("doc_id").alias("rep"), "set_hash", "sig")
     banded = chosen.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n_shingles")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(banded.join(shared.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n_shingles").alias("hub_n")), "bucket"), "buckets")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
     first = buckets.filter(F.col("rep") != F.col("hub")).filter(near("n_shingles", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(linked(first, classes), "links")
+    links = materialize(linked(first, classes, docs), "links")
     roots = components(links)
 
     root = lambda d: d.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
@@ -155,7 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stray = placed.filter("root <> hub_root").select("bucket", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n_shingles").alias("x_n"))
     rest = stray.join(placed.filter(F.col("rep") != F.col("hub")), "bucket").filter("x_root <> root").filter(near("x_n", "n_shingles"))
     rest = rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    more = materialize(linked(rest, classes), "links")
+    more = materialize(linked(rest, classes, docs), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 

@@ -32,9 +32,14 @@ class Buckets:
         words, known = WORD.findall((text or "").lower()), self.known
         if len(known) > self.limit:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1  # 0 is padding
-        return np.array([0] * (WIDTHS[-1] - 1) + [known[w] for w in words] + [0] * (WIDTHS[-1] - 1), np.int32)
+        edge = [0] * (WIDTHS[-1] - 1)  # 0 is padding
+        try:
+            return np.array([*edge, *[known[w] for w in words], *edge], np.int32)
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = xxh32_intdigest(w.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
+            return np.array([*edge, *[known[w] for w in words], *edge], np.int32)
 
 
 def activations(model: dict, x):
