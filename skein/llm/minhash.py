@@ -5,7 +5,7 @@
    by a pre-aggregated group, so thousands of copies never meet each other.
 2. In each band bucket, every class is compared with the bucket's smallest class only (the hub). The
    links that hold are closed to components.
-3. Buckets that still hold several components are finished exactly: classes outside the hub's component
+3. Buckets that still hold several components get other hubs for a few rounds, and are then finished exactly: classes outside the hub's component
    meet the classes of other components. A large group of near copies has become one component by then,
    so this work is about the number of stray classes, not the square of the bucket.
 4. Links come from the full sets, after the signature has ruled out the hopeless pairs.
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, discard, materialize, table, word_bytes
 
 ROWS, BANDS, WORDS, PERCENT = 5, 40, 5, 75
+#: Rounds with two hubs drawn by a hash, one of the first hub's component and one of the others, before what is left
+#: is compared exactly. They end when a round finds no link.
+HUB_ROUNDS = 4
 #: A pair is checked on its sets unless its signatures agree in less than this share of minima, five
 #: standard deviations below the limit.
 SIGNATURE_FLOOR = 0.60
@@ -169,9 +172,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(linked(first, classes, docs), "links")
     roots = components(links)
 
-    root = lambda d: d.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-    placed = materialize(root(buckets).join(hub_root, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")), "placed")
+    hub_root = lambda: roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    place = lambda: buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(hub_root(), "hub", "left").withColumn("root", F.coalesce("root", "rep")).withColumn("hub_root", F.coalesce("hub_root", "hub"))
+    placed = materialize(place(), "placed")
+    for r in range(HUB_ROUNDS):
+        chance = F.struct(F.xxhash64("bucket", "rep", F.lit(r)).alias("_"), "rep", "root", "n_shingles")
+        hubs = placed.groupBy("bucket").agg(F.min(F.when(F.col("root") == F.col("hub_root"), chance)).alias("h1"), F.min(F.when(F.col("root") != F.col("hub_root"), chance)).alias("h2")).filter("h2 IS NOT NULL")
+        met = placed.join(hubs.select("bucket", F.explode(F.array("h1", "h2")).alias("h")), "bucket").filter("h IS NOT NULL AND root <> h.root").filter(near("n_shingles", "h.n_shingles"))
+        more = materialize(linked(met.select(F.col("h.rep").alias("a"), F.col("rep").alias("b")).distinct(), classes, docs), "links")
+        if more.isEmpty():
+            break
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        discard(placed)
+        placed = materialize(place(), "placed")
     stray = placed.filter("root <> hub_root").select("bucket", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n_shingles").alias("x_n"))
     rest = stray.join(placed.filter(F.col("rep") != F.col("hub")), "bucket").filter("x_root <> root").filter(near("x_n", "n_shingles"))
     rest = rest.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
