@@ -68,18 +68,19 @@ def finder(items: list[tuple[int, str]], least: int = LEAST_WORDS, share: float
                 at = np.concatenate([np.arange(len(p[0])) for p in parts])
                 of = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
                 order = np.argsort(s, kind="stable")
-                index.append((mask, s[order], of[order], at[order]))
+                some = np.zeros(1 << 20, bool)  # the seeds' upper bits: rules most places out before the search
+                some[s >> np.uint64(44)] = True
+                index.append((mask, some, s[order], of[order], at[order]))
         small = [(k, h) for k, (_, h) in enumerate(tests) if len(h) < len(MASKS[0])]
 
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 h, diagonals = hashes(words(text)), set()
-                for mask, s, of, at in index:
+                for mask, some, s, of, at in index:
                     mine = seeds(h, mask)
-                    lo = np.searchsorted(s, mine)
-                    for p in np.flatnonzero(s[np.minimum(lo, len(s) - 1)] == mine) if len(mine) else ():
-                        j = lo[p]
+                    for p in np.flatnonzero(some[mine >> np.uint64(44)]):
+                        j = np.searchsorted(s, mine[p])
                         while j < len(s) and s[j] == mine[p]:
                             diagonals.add((int(of[j]), int(p - at[j])))
                             j += 1
