@@ -71,7 +71,8 @@ def tables(model: dict) -> None:
     model["table"] = {w: [np.ascontiguousarray((model["emb"] @ model["conv"][w][j]).T, dtype=np.float32) for j in range(w)] for w in WIDTHS}
 
 
-def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
+def train(rows: list[tuple[str | None, int]], seed: int = 7, odds_ratio: float = 1.0) -> dict:
+    """odds_ratio: the odds of label 1 among all labelled rows, over those among rows; it moves the calibration."""
     import numpy as np
 
     rng, buckets = np.random.default_rng(seed), Buckets()
@@ -128,7 +129,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> dict:
             move = np.linalg.solve(h, np.array([((q - y) * z).sum() + (a - 1), (q - y).sum() + 0.01 * c]))
             a, c = a - np.clip(move[0], -1, 1), c - np.clip(move[1], -2, 2)
         a = max(0.1, a)
-        model["scale"], model["shift"] = a, c
+        model["scale"], model["shift"] = a, c + float(np.log(odds_ratio))
     return {k: v for k, v in model.items() if k not in ("emb", "conv")}
 
 
@@ -155,7 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
     few = spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic int").dropDuplicates(["doc_id"])  # 2 * SAMPLE rows at most
     rows = docs.select("doc_id", "text").filter(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(few), "doc_id").limit(4 * SAMPLE).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r.toxic))
-    return train([(r.text, r.toxic) for r in rows])
+    every = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    hits = sum(r.toxic for r in rows)
+    ratio = every[1] / every[0] / (hits / (len(rows) - hits)) if len(every) == 2 and 0 < hits < len(rows) else 1.0
+    return train([(r.text, r.toxic) for r in rows], odds_ratio=ratio)
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
