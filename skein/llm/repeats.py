@@ -3,10 +3,15 @@
 Doubling from single bytes would sort a row for each byte of the corpus in each of six rounds, so the early rounds are
 replaced by ones that lose nothing:
 1. Equal texts are one class (rank of the whole text); only its first document takes part.
-2. Any two equal LENGTH-byte strings have the same smallest K-byte hash inside, so runs of places that share this
-   minimum are grouped by it; places whose minimum lies in one document only are unique and leave.
-3. For the places left, the last doubling step is taken: the rank of LENGTH bytes is the pair of ranks (128 bits of hash)
-   of its first and last HALF bytes, grouped for the smallest document.
+2. Any two equal LENGTH-byte strings have the same smallest K-byte hash inside. Runs of places that share this minimum
+   are ranked by it and by the hash of all bytes they cover. Documents are dealt into groups of GROUP_BYTES; each sends
+   its distinct runs, sorted and packed into arrays, to buckets of ranks and gets back the smallest document of each run.
+   A run that a smaller document holds as a whole is removed as a whole; one whose minimum lies in one document leaves.
+3. For the smallest document of a run whose minimum has other runs too, the last doubling step is taken place by place:
+   the rank of LENGTH bytes is the pair of ranks (128 bits of hash) of its first and last HALF bytes.
+
+Groups and buckets grow with the input. A task holds one group's texts or one bucket's runs, in which a run counts once
+for each group, however many documents hold it. Rows between the two are at most the distinct runs of the groups.
 """
 
 from __future__ import annotations
@@ -20,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 LENGTH, K, HALF = 50, 24, 32
+GROUP_BYTES = 4 << 20
+#: Bytes hashed at once inside a group.
+BLOCK = 1 << 20
+BASE = 0x9E3779B97F4A7C15
 
 
 def mixed(x, m: int):
@@ -35,98 +44,208 @@ def mixed(x, m: int):
     for j in range(8):
         word |= y[j : j + len(word)] << np.uint64(8 * j)
     for j in range(0, m, 8):
-        out = (out ^ word[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ word[j : j + n]) * np.uint64(BASE)
         out ^= out >> np.uint64(32)
         out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(29)
     return out
 
 
-def runs_of(raw: bytes):
-    """Start, end (exclusive) and smallest hash of the runs of LENGTH-byte places that share their smallest K-byte hash."""
+def blocks(texts) -> Iterator[tuple[int, list[bytes]]]:
+    """Index of the first text, and UTF-8 texts of about BLOCK bytes together."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t.encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= BLOCK:
+            yield at, held
+            at, held, size = i + 1, [], 0
+    if held:
+        yield at, held
+
+
+def runs_of(raws: list[bytes]):
+    """Text index, start, end (exclusive), smallest hash and hash of all covered bytes of the runs of LENGTH-byte places
+    that share their smallest K-byte hash. Each text has LENGTH bytes at least."""
     import numpy as np
 
-    h = mixed(np.frombuffer(raw, np.uint8), K)
-    span, size = LENGTH - K + 1, 1
+    x = np.frombuffer(b"".join(raws), np.uint8)
+    sizes = np.array([len(r) for r in raws])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(raws), dtype=np.int32), sizes)
+    h = mixed(x, K)
+    low, span, size = h, LENGTH - K + 1, 1
     while size * 2 <= span:
-        h = np.minimum(h[:-size], h[size:])
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
     if span > size:
-        h = np.minimum(h[: len(h) - (span - size)], h[span - size :])
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return first, np.append(first[1:], len(h)), h[first].astype(np.int64)
-
-
-def removed(starts) -> list[tuple[int, int]]:
-    """Maximal runs covered by the LENGTH-byte strings that begin at starts."""
+        low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
+    n = len(low)
+    valid = np.arange(LENGTH, n + LENGTH) <= ends[owner[:n]]
+    joined = valid[1:] & valid[:-1] & (low[1:] == low[:-1])
+    first = np.flatnonzero(valid & ~np.concatenate([[False], joined]))
+    last = np.flatnonzero(valid & ~np.concatenate([joined, [False]])) + 1
+    # hash of a run: the K-byte hashes inside, weighed by powers of an odd base relative to its start
+    power = np.cumprod(np.full(len(h), BASE, np.uint64))
+    back = np.cumprod(np.full(len(h), pow(BASE, -1, 1 << 64), np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power)])
+    body = (total[last + (LENGTH - K)] - total[first]) * back[first]
+    begin = (ends - sizes)[owner[first]]
+    return owner[first], first - begin, last - begin, low[first].view(np.int64), body.view(np.int64)
+
+
+def removed(places) -> list[tuple[int, int]]:
+    """Maximal runs covered by the LENGTH-byte strings that begin at the places (lo, hi exclusive)."""
     out: list[tuple[int, int]] = []
-    for s in sorted(starts):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + LENGTH)
+    for lo, hi in sorted(places):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi - 1 + LENGTH))
         else:
-            out.append((s, s + LENGTH))
+            out.append((lo, hi - 1 + LENGTH))
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def send(n_buckets: int):
+    """One group's distinct runs as arrays for each bucket: the smallest document (index into docs) and whether there
+    are several."""
+
+    def run(group):
+        import numpy as np
+        import pandas as pd
+
+        ids, found = group["doc_id"].to_numpy(np.int64), []
+        for at, raws in blocks(group["text"]):
+            owner, _, _, value, body = runs_of(raws)
+            found.append((value, body, ids[owner + at]))
+        value, body, doc = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((doc, body, value))
+        value, body, doc = value[order], body[order], doc[order]
+        new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (body[1:] != body[:-1])]))
+        last = np.append(new[1:], len(value)) - 1
+        several = doc[new] != doc[last]
+        value, body, doc = value[new], body[new], doc[new]
+        bucket = (value.view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        out, g = [], int(group["grp"].iloc[0])
+        for part in np.split(order, cuts):
+            seen, index = np.unique(doc[part], return_inverse=True)
+            out.append((int(bucket[part[0]]), g, value[part].tobytes(), body[part].tobytes(), seen.tobytes(), index.astype(np.int32).tobytes(), np.packbits(several[part]).tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "grp", "value", "body", "docs", "doc", "several"])
+
+    return run, "bucket long, grp long, value binary, body binary, docs binary, doc binary, several binary"
+
+
+def answer(bucket):
+    """For each group, its runs that take part: smallest document, and whether the minimum has other runs too."""
+    import numpy as np
+    import pandas as pd
+
+    parts = []
+    for k, r in enumerate(bucket.itertuples(index=False)):
+        value = np.frombuffer(r.value, np.int64)
+        parts.append((value, np.frombuffer(r.body, np.int64), np.frombuffer(r.docs, np.int64)[np.frombuffer(r.doc, np.int32)], np.unpackbits(np.frombuffer(r.several, np.uint8), count=len(value)).astype(bool), np.full(len(value), k, np.int32)))
+    value, body, doc, several, row = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((doc, body, value))
+    value, body, doc, several, row = value[order], body[order], doc[order], several[order], row[order]
+    new_value = np.concatenate([[True], value[1:] != value[:-1]])
+    new_body = new_value | np.concatenate([[True], body[1:] != body[:-1]])
+    at_value, at_body = np.flatnonzero(new_value), np.flatnonzero(new_body)
+    which, which_body = np.cumsum(new_value) - 1, np.cumsum(new_body) - 1
+    least = doc[at_body][which_body]
+    often = (np.minimum.reduceat(doc, at_value) != np.maximum.reduceat(doc, at_value)) | np.logical_or.reduceat(several, at_value)
+    more = (np.add.reduceat(new_body.astype(np.int64), at_value) > 1)[which]
+    # a run whose only document here is its smallest, without other runs, has nothing to learn
+    keep = np.flatnonzero(often[which] & (more | several | (doc > least)))
+    out, groups = [], bucket["grp"].to_numpy()
+    keep = keep[np.argsort(row[keep], kind="stable")]
+    for part in np.split(keep, np.flatnonzero(np.diff(row[keep])) + 1) if len(keep) else []:
+        out.append((int(groups[row[part[0]]]), value[part].tobytes(), body[part].tobytes(), least[part].tobytes(), np.packbits(more[part]).tobytes()))
+    return pd.DataFrame(out, columns=["grp", "value", "body", "least", "more"])
+
+
+def places(group, replies):
+    """Runs to remove as a whole, and the places of the smallest documents of runs whose minimum has other runs too."""
+    import numpy as np
+    import pandas as pd
+
+    columns = ["doc_id", "lo", "hi", "whole", "head", "tail"]
+    if not len(replies) or not len(group):
+        return pd.DataFrame([], columns=columns)
+    value = np.concatenate([np.frombuffer(b, np.int64) for b in replies["value"]])
+    told = pd.DataFrame({"value": value, "body": np.concatenate([np.frombuffer(b, np.int64) for b in replies["body"]]), "least": np.concatenate([np.frombuffer(b, np.int64) for b in replies["least"]]), "more": np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(v) // 8).astype(bool) for m, v in zip(replies["more"], replies["value"])])})
+    ids, out = group["doc_id"].to_numpy(np.int64), []
+    for at, raws in blocks(group["text"]):
+        owner, lo, hi, value, body = runs_of(raws)
+        r = pd.DataFrame({"owner": owner, "lo": lo, "hi": hi, "value": value, "body": body, "doc_id": ids[owner + at]}).merge(told, on=["value", "body"]).sort_values(["owner", "lo"])
+        w = r[r["doc_id"] > r["least"]]
+        if len(w):
+            own, a, b, d = (w[c].to_numpy() for c in ("owner", "lo", "hi", "doc_id"))
+            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (a[1:] != b[:-1])]))
+            out.append(pd.DataFrame({"doc_id": d[new], "lo": a[new], "hi": b[np.append(new[1:], len(own)) - 1], "whole": True, "head": 0, "tail": 0}))
+        p = r[r["more"] & (r["doc_id"] == r["least"])]
+        if len(p):
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+            h = mixed(np.frombuffer(b"".join(raws), np.uint8), HALF).view(np.int64)
+            n = (p["hi"] - p["lo"]).to_numpy()
+            pos = np.repeat(p["lo"].to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            on = np.repeat(begin[p["owner"].to_numpy()], n) + pos
+            out.append(pd.DataFrame({"doc_id": np.repeat(p["doc_id"].to_numpy(), n), "lo": pos, "hi": pos + 1, "whole": False, "head": h[on], "tail": h[on + (LENGTH - HALF)]}))
+    return pd.concat(out) if out else pd.DataFrame([], columns=columns)
+
+
+def cut(batches: Iterator) -> Iterator:
+    import pandas as pd
+
+    for b in batches:
+        out = []
+        for doc_id, t, at in zip(b["doc_id"], b["text"], b["places"]):
+            raw = t.encode("utf-8", "surrogatepass")
+            spans = removed((r["lo"], r["hi"]) for r in at)
+            kept, done = hashlib.sha256(), 0
+            for x, y in spans:
+                kept.update(raw[done:x])
+                done = y
+            kept.update(raw[done:])
+            out.append((doc_id, sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
+        yield pd.DataFrame(out, columns=["doc_id", "cut_bytes", "cut_spans", "cut_sha256"])
+
+
+def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text).
 
     Defined results: null and empty texts keep nothing and lose nothing; rows that share a doc_id never take from each
     other; a row without doc_id neither gives nor takes; further columns are ignored."""
-    import numpy as np
-
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"))
-    first = materialize(rows.filter(F.col("doc_id").isNotNull()).filter(F.col("n_bytes") >= LENGTH).groupBy("h").agg(F.min("doc_id").alias("rep")), "classes")
-    one = rows.filter(F.col("n_bytes") >= LENGTH).join(first.select("h", F.col("rep").alias("doc_id")), ["h", "doc_id"], "left_semi").select("doc_id", "text")
-
-    def runs(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for doc_id, t in zip(b["doc_id"], b["text"]):
-                lo, hi, h = runs_of(t.encode("utf-8", "surrogatepass"))
-                yield pd.DataFrame({"doc_id": doc_id, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "value": h})
-
-    found = one.mapInPandas(runs, "doc_id long, lo int, hi int, value long")
-    often = found.groupBy("value").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("value")
-    left = found.join(often, "value", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-
-    def ranks(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            for doc_id, t, at in zip(b["doc_id"], b["text"], b["at"]):
-                h = mixed(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), HALF).astype(np.int64)
-                p = np.unique(np.concatenate([np.arange(r["lo"], r["hi"]) for r in at]))
-                yield pd.DataFrame({"doc_id": doc_id, "pos": p.astype(np.int32), "head": h[p], "tail": h[p + LENGTH - HALF]})
-
-    placed = materialize(one.join(left, "doc_id").mapInPandas(ranks, "doc_id long, pos int, head long, tail long"), "ranks")
-    least = placed.groupBy("head", "tail").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("head", "tail", "x")
-    marks = placed.join(least, ["head", "tail"]).filter("doc_id > x").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
-
-    def cut(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for doc_id, t, rep, starts in zip(b["doc_id"], b["text"], b["rep"], b["starts"]):
-                raw = t.encode("utf-8", "surrogatepass")
-                if not pd.isna(rep) and not pd.isna(doc_id) and doc_id > rep:
-                    spans = [(0, len(raw))]
-                else:
-                    spans = removed(starts) if starts is not None else []
-                kept, at = hashlib.sha256(), 0
-                for x, y in spans:
-                    kept.update(raw[at:x])
-                    at = y
-                kept.update(raw[at:])
-                out.append((doc_id, len(raw), sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    # several texts may share a doc_id; the marks are those of the class's first document
-    own = marks.join(first.groupBy("rep").count().filter("count = 1").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return rows.join(first, "h", "left").join(own, "doc_id", "left").select("doc_id", "text", "rep", "starts").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"))
+    able = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH))
+    first = materialize(able.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("n_bytes").alias("size")), "classes")
+    n = 1 + (first.agg(F.sum("size")).first()[0] or 0) // group_bytes
+    one = able.join(first.select("h", F.col("rep").alias("doc_id")), ["h", "doc_id"], "left_semi").dropDuplicates(["h", "doc_id"])
+    one = materialize(one.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("grp")), "texts")
+
+    sent, schema = send(n)
+    replies = one.groupBy("grp").applyInPandas(sent, schema).groupBy("bucket").applyInPandas(answer, "grp long, value binary, body binary, least binary, more binary")
+    placed = materialize(one.groupBy("grp").cogroup(replies.groupBy("grp")).applyInPandas(places, "doc_id long, lo int, hi int, whole boolean, head long, tail long"), "ranks")
+    points = placed.filter(~F.col("whole")).select("doc_id", "lo", "hi", "head", "tail")
+    least = points.groupBy("head", "tail").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("head", "tail", "x")
+    marks = points.join(least, ["head", "tail"]).filter("doc_id > x").select("doc_id", "lo", "hi").union(placed.filter("whole").select("doc_id", "lo", "hi"))
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
+
+    # several texts may share a doc_id; its marks can't be told apart then, and both stay whole
+    single = first.groupBy("rep").count().filter("count = 1").select(F.col("rep").alias("doc_id"))
+    cuts = one.select("doc_id", "text").join(marks.join(single, "doc_id", "left_semi"), "doc_id").mapInPandas(cut, "doc_id long, cut_bytes long, cut_spans long, cut_sha256 string")
+    copy = F.col("doc_id") > F.col("rep")
+    joined = rows.select("doc_id", "h", "n_bytes").join(first.select("h", "rep"), "h", "left").join(cuts.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    own = F.col("doc_id") == F.col("rep")
+    nothing = hashlib.sha256().hexdigest()
+    return joined.select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).when(own, F.coalesce("cut_bytes", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(1)).when(own, F.coalesce("cut_spans", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_spans"),
+        F.when(copy, F.lit(nothing)).when(own, F.coalesce("cut_sha256", "h")).otherwise(F.col("h")).alias("kept_sha256"),
+    )
 
 
 def op10_suffix(spark, sf_dir: str) -> DataFrame:
