@@ -8,7 +8,8 @@ replaced by ones that lose nothing:
    its distinct runs, sorted and packed into arrays, to buckets of ranks and gets back the smallest document of each run.
    A run that a smaller document holds as a whole is removed as a whole; one whose minimum lies in one document leaves.
 3. For the smallest document of a run whose minimum has other runs too, the last doubling step is taken place by place:
-   the rank of LENGTH bytes is the pair of ranks (128 bits of hash) of its first and last HALF bytes.
+   the rank of LENGTH bytes is the pair of ranks of its first and last HALF bytes (48 and 64 bits of hash are kept).
+   Places go to buckets and come back as the runs do.
 
 Groups and buckets grow with the input. A task holds one group's texts or one bucket's runs, in which a run counts once
 for each group, however many documents hold it. Rows between the two are at most the distinct runs of the groups.
@@ -105,46 +106,72 @@ def removed(places) -> list[tuple[int, int]]:
     return out
 
 
-def send(n_buckets: int):
-    """One group's distinct runs as arrays for each bucket: the smallest document (index into docs) and whether there
-    are several."""
+def packed(value):
+    """Six bytes for each value: documents may share them by chance, which costs time only, as bodies tell runs apart."""
+    import numpy as np
 
-    def run(group):
-        import numpy as np
-        import pandas as pd
+    return np.ascontiguousarray(value.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
-        ids, found = group["doc_id"].to_numpy(np.int64), []
-        for at, raws in blocks(group["text"]):
-            owner, _, _, value, body = runs_of(raws)
-            found.append((value, body, ids[owner + at]))
+
+def unpacked(raw: bytes):
+    import numpy as np
+
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+SENT = "bucket long, grp long, value binary, body binary, docs binary, doc binary, several binary"
+TOLD = "grp long, value binary, body binary, least binary, more binary"
+
+
+def distinct(found, grp: int, n_buckets: int):
+    """One group's distinct (value, body) as arrays for each bucket: the smallest document (index into docs) and whether
+    there are several."""
+    import numpy as np
+    import pandas as pd
+
+    out = []
+    if found:
         value, body, doc = (np.concatenate(c) for c in zip(*found))
+        value = value & np.int64(-65536)
         order = np.lexsort((doc, body, value))
         value, body, doc = value[order], body[order], doc[order]
         new = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (body[1:] != body[:-1])]))
-        last = np.append(new[1:], len(value)) - 1
-        several = doc[new] != doc[last]
+        several = doc[new] != doc[np.append(new[1:], len(value)) - 1]
         value, body, doc = value[new], body[new], doc[new]
-        bucket = (value.view(np.uint64) >> np.uint64(20)) % np.uint64(n_buckets)
+        bucket = (value.view(np.uint64) >> np.uint64(16)) % np.uint64(n_buckets)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-        out, g = [], int(group["grp"].iloc[0])
-        for part in np.split(order, cuts):
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
             seen, index = np.unique(doc[part], return_inverse=True)
-            out.append((int(bucket[part[0]]), g, value[part].tobytes(), body[part].tobytes(), seen.tobytes(), index.astype(np.int32).tobytes(), np.packbits(several[part]).tobytes()))
-        return pd.DataFrame(out, columns=["bucket", "grp", "value", "body", "docs", "doc", "several"])
+            kind = np.uint16 if len(seen) <= 1 << 16 else np.uint32
+            out.append((int(bucket[part[0]]), grp, packed(value[part]), body[part].tobytes(), seen.tobytes(), index.astype(kind).tobytes(), np.packbits(several[part]).tobytes()))
+    return pd.DataFrame(out, columns=["bucket", "grp", "value", "body", "docs", "doc", "several"])
 
-    return run, "bucket long, grp long, value binary, body binary, docs binary, doc binary, several binary"
+
+def send_runs(n_buckets: int):
+    def run(group):
+        import numpy as np
+
+        ids, found = group["doc_id"].to_numpy(np.int64), []
+        for at, raws in blocks(group["text"]):
+            owner, _, _, value, body = runs_of(raws)
+            found.append((value, body, ids[owner + at]))
+        return distinct(found, int(group["grp"].iloc[0]), n_buckets)
+
+    return run
 
 
 def answer(bucket):
-    """For each group, its runs that take part: smallest document, and whether the minimum has other runs too."""
+    """For each group, its bodies that take part: smallest document, and whether the value has other bodies too."""
     import numpy as np
     import pandas as pd
 
     parts = []
     for k, r in enumerate(bucket.itertuples(index=False)):
-        value = np.frombuffer(r.value, np.int64)
-        parts.append((value, np.frombuffer(r.body, np.int64), np.frombuffer(r.docs, np.int64)[np.frombuffer(r.doc, np.int32)], np.unpackbits(np.frombuffer(r.several, np.uint8), count=len(value)).astype(bool), np.full(len(value), k, np.int32)))
+        value, body = unpacked(r.value), np.frombuffer(r.body, np.int64)
+        index = np.frombuffer(r.doc, np.uint16 if len(r.doc) == 2 * len(value) else np.uint32)
+        parts.append((value, body, np.frombuffer(r.docs, np.int64)[index], np.unpackbits(np.frombuffer(r.several, np.uint8), count=len(value)).astype(bool), np.full(len(value), k, np.int32)))
     value, body, doc, several, row = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((doc, body, value))
     value, body, doc, several, row = value[order], body[order], doc[order], several[order], row[order]
@@ -160,55 +187,79 @@ def answer(bucket):
     out, groups = [], bucket["grp"].to_numpy()
     keep = keep[np.argsort(row[keep], kind="stable")]
     for part in np.split(keep, np.flatnonzero(np.diff(row[keep])) + 1) if len(keep) else []:
-        out.append((int(groups[row[part[0]]]), value[part].tobytes(), body[part].tobytes(), least[part].tobytes(), np.packbits(more[part]).tobytes()))
+        out.append((int(groups[row[part[0]]]), packed(value[part]), body[part].tobytes(), least[part].tobytes(), np.packbits(more[part]).tobytes()))
     return pd.DataFrame(out, columns=["grp", "value", "body", "least", "more"])
 
 
-def places(group, replies):
-    """Runs to remove as a whole, and the places of the smallest documents of runs whose minimum has other runs too."""
+def told(replies):
+    """The replies to one group as a frame (value, body, least, more)."""
     import numpy as np
     import pandas as pd
 
-    columns = ["doc_id", "lo", "hi", "whole", "head", "tail"]
-    if not len(replies) or not len(group):
-        return pd.DataFrame([], columns=columns)
-    value = np.concatenate([np.frombuffer(b, np.int64) for b in replies["value"]])
-    told = pd.DataFrame({"value": value, "body": np.concatenate([np.frombuffer(b, np.int64) for b in replies["body"]]), "least": np.concatenate([np.frombuffer(b, np.int64) for b in replies["least"]]), "more": np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(v) // 8).astype(bool) for m, v in zip(replies["more"], replies["value"])])})
-    ids, out = group["doc_id"].to_numpy(np.int64), []
-    for at, raws in blocks(group["text"]):
+    long = lambda c: np.concatenate([np.frombuffer(b, np.int64) for b in replies[c]])
+    more = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(b) // 8).astype(bool) for m, b in zip(replies["more"], replies["body"])]
+    return pd.DataFrame({"value": np.concatenate([unpacked(v) for v in replies["value"]]), "body": long("body"), "least": long("least"), "more": np.concatenate(more)})
+
+
+def matched(texts, ids, told_runs) -> Iterator:
+    """For each block of texts: index of the first, texts, the runs that were replied to, and the places (text, place,
+    value, body) of the smallest documents of runs whose minimum has other runs too."""
+    import numpy as np
+    import pandas as pd
+
+    for at, raws in blocks(texts):
         owner, lo, hi, value, body = runs_of(raws)
-        r = pd.DataFrame({"owner": owner, "lo": lo, "hi": hi, "value": value, "body": body, "doc_id": ids[owner + at]}).merge(told, on=["value", "body"]).sort_values(["owner", "lo"])
-        w = r[r["doc_id"] > r["least"]]
-        if len(w):
-            own, a, b, d = (w[c].to_numpy() for c in ("owner", "lo", "hi", "doc_id"))
-            new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (a[1:] != b[:-1])]))
-            out.append(pd.DataFrame({"doc_id": d[new], "lo": a[new], "hi": b[np.append(new[1:], len(own)) - 1], "whole": True, "head": 0, "tail": 0}))
+        r = pd.DataFrame({"owner": owner, "lo": lo, "hi": hi, "value": value & np.int64(-65536), "body": body, "doc_id": ids[owner + at]}).merge(told_runs, on=["value", "body"])
         p = r[r["more"] & (r["doc_id"] == r["least"])]
-        if len(p):
-            begin = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
-            h = mixed(np.frombuffer(b"".join(raws), np.uint8), HALF).view(np.int64)
-            n = (p["hi"] - p["lo"]).to_numpy()
-            pos = np.repeat(p["lo"].to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            on = np.repeat(begin[p["owner"].to_numpy()], n) + pos
-            out.append(pd.DataFrame({"doc_id": np.repeat(p["doc_id"].to_numpy(), n), "lo": pos, "hi": pos + 1, "whole": False, "head": h[on], "tail": h[on + (LENGTH - HALF)]}))
-    return pd.concat(out) if out else pd.DataFrame([], columns=columns)
+        begin = np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+        n = (p["hi"] - p["lo"]).to_numpy()
+        pos = np.repeat(p["lo"].to_numpy() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        own = np.repeat(p["owner"].to_numpy(), n)
+        h = mixed(np.frombuffer(b"".join(raws), np.uint8), HALF)
+        head, tail = h[begin[own] + pos], h[begin[own] + pos + (LENGTH - HALF)]
+        pair = (head ^ np.uint64(BASE)) * np.uint64(0xD6E8FEB86659FD93) + tail
+        yield at, raws, r, own, pos, head.view(np.int64), pair.view(np.int64)
+
+
+def send_places(n_buckets: int):
+    def run(group, replies):
+        import numpy as np
+
+        found = []
+        if len(group) and len(replies):
+            ids = group["doc_id"].to_numpy(np.int64)
+            for at, _, _, own, _, head, pair in matched(group["text"], ids, told(replies)):
+                if len(own):
+                    found.append((head, pair, ids[own + at]))
+        return distinct(found, int(group["grp"].iloc[0]) if len(group) else 0, n_buckets)
 
+    return run
 
-def cut(batches: Iterator) -> Iterator:
+
+def cut(group, replies):
+    """h, bytes and spans removed and hash of the rest, for the texts of a group that lose something."""
+    import numpy as np
     import pandas as pd
 
-    for b in batches:
-        out = []
-        for doc_id, t, at in zip(b["doc_id"], b["text"], b["places"]):
-            raw = t.encode("utf-8", "surrogatepass")
-            spans = removed((r["lo"], r["hi"]) for r in at)
-            kept, done = hashlib.sha256(), 0
-            for x, y in spans:
-                kept.update(raw[done:x])
-                done = y
-            kept.update(raw[done:])
-            out.append((doc_id, sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
-        yield pd.DataFrame(out, columns=["doc_id", "cut_bytes", "cut_spans", "cut_sha256"])
+    out = []
+    if len(group) and len(replies):
+        ids, hashes = group["doc_id"].to_numpy(np.int64), group["h"].to_numpy()
+        of_places = replies[replies["places"]]
+        points = told(of_places) if len(of_places) else pd.DataFrame({"value": np.zeros(0, np.int64), "body": np.zeros(0, np.int64), "least": np.zeros(0, np.int64), "more": np.zeros(0, bool)})
+        # a group that has replies to its places has some to its runs
+        for at, raws, r, own, pos, head, pair in matched(group["text"], ids, told(replies[~replies["places"]])):
+            w = r[r["doc_id"] > r["least"]][["owner", "lo", "hi"]]
+            p = pd.DataFrame({"owner": own, "lo": pos, "value": head & np.int64(-65536), "body": pair, "doc_id": ids[own + at]}).merge(points, on=["value", "body"])
+            p = p[p["doc_id"] > p["least"]]
+            w = pd.concat([w, pd.DataFrame({"owner": p["owner"], "lo": p["lo"], "hi": p["lo"] + 1})]).sort_values(["owner", "lo"])
+            for i, g in w.groupby("owner"):
+                raw, spans, kept, done = raws[i], removed(zip(g["lo"].tolist(), g["hi"].tolist())), hashlib.sha256(), 0
+                for x, y in spans:
+                    kept.update(raw[done:x])
+                    done = y
+                kept.update(raw[done:])
+                out.append((hashes[at + i], sum(y - x for x, y in spans), len(spans), kept.hexdigest()))
+    return pd.DataFrame(out, columns=["h", "cut_bytes", "cut_spans", "cut_sha256"])
 
 
 def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -222,21 +273,14 @@ def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     first = materialize(able.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("n_bytes").alias("size")), "classes")
     n = 1 + (first.agg(F.sum("size")).first()[0] or 0) // group_bytes
     one = able.join(first.select("h", F.col("rep").alias("doc_id")), ["h", "doc_id"], "left_semi").dropDuplicates(["h", "doc_id"])
-    one = materialize(one.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("grp")), "texts")
-
-    sent, schema = send(n)
-    replies = one.groupBy("grp").applyInPandas(sent, schema).groupBy("bucket").applyInPandas(answer, "grp long, value binary, body binary, least binary, more binary")
-    placed = materialize(one.groupBy("grp").cogroup(replies.groupBy("grp")).applyInPandas(places, "doc_id long, lo int, hi int, whole boolean, head long, tail long"), "ranks")
-    points = placed.filter(~F.col("whole")).select("doc_id", "lo", "hi", "head", "tail")
-    least = points.groupBy("head", "tail").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("head", "tail", "x")
-    marks = points.join(least, ["head", "tail"]).filter("doc_id > x").select("doc_id", "lo", "hi").union(placed.filter("whole").select("doc_id", "lo", "hi"))
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("places"))
-
-    # several texts may share a doc_id; its marks can't be told apart then, and both stay whole
-    single = first.groupBy("rep").count().filter("count = 1").select(F.col("rep").alias("doc_id"))
-    cuts = one.select("doc_id", "text").join(marks.join(single, "doc_id", "left_semi"), "doc_id").mapInPandas(cut, "doc_id long, cut_bytes long, cut_spans long, cut_sha256 string")
+    one = materialize(one.select("doc_id", "text", "h", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("grp")), "texts")
+    grouped = one.groupBy("grp")
+    runs = materialize(one.select("doc_id", "text", "grp").groupBy("grp").applyInPandas(send_runs(n), SENT).groupBy("bucket").applyInPandas(answer, TOLD), "answers")
+    points = one.select("doc_id", "text", "grp").groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(send_places(n), SENT).groupBy("bucket").applyInPandas(answer, TOLD)
+    replies = runs.withColumn("places", F.lit(False)).union(points.withColumn("places", F.lit(True)))
+    cuts = materialize(grouped.cogroup(replies.groupBy("grp")).applyInPandas(cut, "h string, cut_bytes long, cut_spans long, cut_sha256 string"), "cuts")
     copy = F.col("doc_id") > F.col("rep")
-    joined = rows.select("doc_id", "h", "n_bytes").join(first.select("h", "rep"), "h", "left").join(cuts.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    joined = rows.select("doc_id", "h", "n_bytes").join(first.select("h", "rep").join(cuts, "h", "left"), "h", "left")
     own = F.col("doc_id") == F.col("rep")
     nothing = hashlib.sha256().hexdigest()
     return joined.select(
