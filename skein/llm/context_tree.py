@@ -6,8 +6,9 @@ half the product of its longer contexts'. The posterior weights then mix the est
 path. Where a longer context was never seen, the estimate of the longest one seen stands for it.
 
 Texts are lower-cased (A-Z), preceded by DEPTH bytes 255 and closed by one. Corpus counts (the DEPTH + 1-grams) grow with
-the input and stay in a table; they meet the documents in blocks of BLOCK grams, split by the last context byte,
-so each block's subtrees are whole. Each block is one pass over the documents.
+the input and stay in a table. They are dealt into buckets of about BUCKET grams by the last two context bytes, so each
+bucket's subtrees below depth 1 are whole; the 65,280 nodes of depth 1 and 0 are summed over buckets. The value of each
+gram is computed once, in its bucket; the values meet the documents in blocks of BLOCK, one pass over the documents each.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, word_bytes
 
-DEPTH, BLOCK, CHUNK = 4, 4_000_000, 8 << 20
+DEPTH, BLOCK, BUCKET, CHUNK, FLUSH = 6, 4_000_000, 200_000, 4 << 20, 2_000_000
 END = 255
 
 
@@ -78,8 +79,8 @@ def summed(key, *columns):
     return key[first], *[np.add.reduceat(c[order], first) for c in columns]
 
 
-def nodes(gram, n):
-    """For depths DEPTH..1: (keys, a, b, weight of the own estimate); then the sums for depth 0."""
+def nodes(gram, n, least: int = 0):
+    """For depths least + 1..DEPTH: (keys, a, b, weight of the own estimate); then the sums for depth least."""
     import numpy as np
 
     ctx, byte, n = gram >> np.uint64(8), gram & np.uint64(255), n.astype(float)
@@ -92,7 +93,7 @@ def nodes(gram, n):
         b.append(n * bit)
     key, a, b = summed(np.concatenate(key), np.concatenate(a), np.concatenate(b))
     below, out = np.zeros(len(key)), []
-    for depth in range(DEPTH, 0, -1):
+    for depth in range(DEPTH, least, -1):
         own = kt(a, b)
         total = own if depth == DEPTH else math.log(0.5) + np.logaddexp(own, below)
         out.append((key, a, b, np.ones(len(key)) if depth == DEPTH else np.exp(math.log(0.5) + own - total)))
@@ -124,82 +125,115 @@ def log10_p(gram, levels: list, root):
     return out
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
+def count_grams(docs: DataFrame, training=None) -> DataFrame:
+    """Every gram of docs, with its times n in the rows to learn from (all rows where training is None)."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
+        frame = lambda key, n: pd.DataFrame({"gram": key.astype(np.int64), "n": n})
+        held, n_held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
+            learnt = b["train"].to_numpy(float)
             for part in chunks(range(len(b)), b["text"]):
-                key, n = np.unique(grams([t for _, t in part])[0], return_counts=True)
-                yield pd.DataFrame({"gram": key.astype(np.int64), "n": n})
+                key, of = grams([t for _, t in part])
+                key, back = np.unique(key, return_inverse=True)
+                n = np.bincount(back, learnt[[i for i, _ in part]][of], minlength=len(key)).astype(np.int64)
+                held, n_held = summed(np.concatenate([held, key]), np.concatenate([n_held, n]))
+                if len(held) >= FLUSH:
+                    yield frame(held, n_held)
+                    held, n_held = held[:0], n_held[:0]
+        if len(held):
+            yield frame(held, n_held)
+
+    train = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
+    return docs.select("text", train.alias("train")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def top_of(dealt: DataFrame):
+    """Depth 1 as a level of nodes(), and depth 0 as arrays of 256 (a, b, weight); 65,280 rows at most are collected."""
+    import numpy as np
 
-    return docs.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def run(pdf):
+        import pandas as pd
 
+        _, (key, a, b, below) = nodes(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy(), 1)
+        return pd.DataFrame({"node": key.astype(np.int64), "a": a, "b": b, "below": below})
 
-def root_of(counted: DataFrame):
-    """The 255 nodes of depth 0, from the sums of each last byte's subtree (255 rows are collected)."""
+    parts = dealt.filter("n > 0").groupBy("bucket").applyInPandas(run, "node long, a double, b double, below double")
+    got = parts.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").toArrow()
+    node, a, b, below = (got[c].to_numpy() for c in got.column_names)
+    root = np.zeros(256), np.zeros(256), np.ones(256)
+    if not len(node):
+        return None, root
+    own = kt(a, b)
+    total = math.log(0.5) + np.logaddexp(own, below)
+    top = node.astype(np.uint64), a, b, np.exp(math.log(0.5) + own - total)
+    key, a, b, below = summed(top[0] & np.uint64(255), a, b, total)
+    own, at = kt(a, b), key.astype(np.int64)
+    root[0][at], root[1][at], root[2][at] = a, b, np.exp(own - np.logaddexp(own, below))
+    return top, root
+
+
+def gram_values(counted: DataFrame, n_grams: int, bucket: int = BUCKET) -> DataFrame:
+    """gram, value: the log10 probability of each gram's byte in its context."""
     import numpy as np
 
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(65535))
+    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64(pair), F.lit(max(1, -(-n_grams // bucket)))))
+    top, root = top_of(dealt)
+
     def run(pdf):
         import pandas as pd
 
-        _, (key, a, b, below) = nodes(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy())
-        return pd.DataFrame({"node": key.astype(np.int64), "a": a, "b": b, "below": below})
+        gram, n = pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy()
+        levels = [top] if top else []
+        if (n > 0).any():
+            levels += nodes(gram[n > 0], n[n > 0], 1)[0]
+        return pd.DataFrame({"gram": gram.astype(np.int64), "value": log10_p(gram, levels, root)})
 
-    last = counted.withColumn("last", F.shiftright("gram", 8).bitwiseAND(F.lit(255)))
-    rows = last.groupBy("last").applyInPandas(run, "node long, a double, b double, below double").groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).collect()
-    a, b, w = np.zeros(256), np.zeros(256), np.ones(256)
-    for r in rows:
-        a[r.node], b[r.node] = r.a, r.b
-        own = float(kt(np.array([r.a]), np.array([r.b]))[0])
-        w[r.node] = math.exp(own - np.logaddexp(own, r.below))
-    return a, b, w
+    return dealt.groupBy("bucket").applyInPandas(run, "gram long, value double")
 
 
 def add_scores(docs: DataFrame, counted: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs (key, doc_id, text) with score, the log10 probability of text."""
+    """docs (key, doc_id, text) with score, the log10 probability of text. counted has every gram of docs."""
     import numpy as np
 
-    root, spark = root_of(counted), docs.sparkSession
-    last = F.shiftright("gram", 8).bitwiseAND(F.lit(255))
-    sizes = {r["last"]: r["count"] for r in counted.groupBy(last.alias("last")).count().collect()}  # 256 rows at most
-    parts, room = [[]], block
-    for byte in range(256):
-        if sizes.get(byte, 0) > room and parts[-1]:
-            parts.append([])
-            room = block
-        parts[-1].append(byte)
-        room -= sizes.get(byte, 0)
-    out = docs.withColumn("score", F.lit(0.0))
-    for part in parts:
-        few = counted.filter(last.isin(part)).toPandas()  # a block: its size is known from sizes
-        shared = spark.sparkContext.broadcast((few["gram"].to_numpy(np.int64).astype(np.uint64), few["n"].to_numpy(np.int64)))
-
-        def run(batches: Iterator, shared=shared, part=part) -> Iterator:
-            inside = np.zeros(256, bool)
-            inside[part] = True
-            known, n = shared.value
-            levels, _ = nodes(known, n) if len(known) else ([], None)
-            known = np.sort(known)
-            values = log10_p(known, levels, root)
+    spark, n_grams = docs.sparkSession, counted.count()
+    values = materialize(gram_values(counted, n_grams), "values")
+    blocks = -(-n_grams // block) | 1  # odd, so that the rest of the division depends on all bytes
+    rest, schema = docs.drop("text").schema, docs.drop("text").withColumn("score", F.lit(0.0)).schema
+    done = []
+    for k in range(blocks):
+        few = values.filter(F.pmod("gram", F.lit(blocks)) == k).toArrow()  # about block rows
+        gram, value = few["gram"].to_numpy().astype(np.uint64), few["value"].to_numpy()
+        order = np.argsort(gram)
+        shared = spark.sparkContext.broadcast((gram[order], value[order]))
+        del few, gram, value, order
+
+        def run(batches: Iterator, shared=shared, k=k) -> Iterator:
+            known, values = shared.value
             for b in batches:
                 got = []
-                for some in chunks(range(len(b)), b["text"]):
+                for some in chunks(range(len(b)), b.pop("text")):
                     key, of = grams([t for _, t in some])
-                    use = inside[(key >> np.uint64(8) & np.uint64(255)).astype(np.int64)]
+                    use = key % np.uint64(blocks) == k
                     key, back = np.unique(key[use], return_inverse=True)
-                    at = np.minimum(np.searchsorted(known, key), max(0, len(known) - 1))
-                    value = values[at].copy() if len(known) else np.zeros(len(key))
-                    new = known[at] != key if len(known) else np.ones(len(key), bool)
-                    if new.any():
-                        value[new] = log10_p(key[new], levels, root)
-                    got.append(np.bincount(of[use], value[back], minlength=len(some)))
-                b["score"] += np.concatenate(got) if got else 0.0
+                    at = np.searchsorted(known, key)
+                    if len(key) and (at[-1] == len(known) or (known[at] != key).any()):
+                        raise ValueError("a gram of the documents was not counted")
+                    got.append(np.bincount(of[use], values[at][back], minlength=len(some)))
+                b["score"] = np.concatenate(got) if got else 0.0
                 yield b
 
-        out = out.mapInPandas(run, out.schema)
-    return out.drop("text")
+        # each block's pass ends before the next, so a worker holds one block
+        done.append(materialize(docs.mapInPandas(run, schema), "scores"))
+        shared.unpersist()
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out if blocks == 1 else out.groupBy(*rest.names).agg(F.sum("score").alias("score"))
 
 
 def score_documents(docs: DataFrame, training) -> DataFrame:
@@ -209,7 +243,7 @@ def score_documents(docs: DataFrame, training) -> DataFrame:
     texts are the end alone; repeated rows each are scored and each count in training; with nothing to
     train on every bit has one half; further columns are ignored."""
     rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"))
-    counted = materialize(count_grams(rows.filter("train")), "grams")
+    counted = materialize(count_grams(rows, F.col("train")), "grams")
 
     def words(batches: Iterator) -> Iterator:
         import pandas as pd

@@ -171,6 +171,16 @@ def test_context_tree_blocks_agree(docs, texts):
     assert all(abs(one[k] - many[k]) < 1e-6 * max(1, abs(one[k])) for k in one)
 
 
+def test_context_tree_learns_beyond_four_bytes(spark):
+    """Only the sixth byte back tells what follows the common four."""
+    r = random.Random(6)
+    line = lambda n: "".join(r.choice(("a_cdefX", "b_cdefY")) for _ in range(n))
+    d = spark.createDataFrame([(i, line(300)) for i in range(12)], "doc_id long, text string")
+    rows = context_tree.score_documents(d, F.col("doc_id") > 1).collect()
+    bits = {r.doc_id: -r.score / math.log10(2) for r in rows if r.held_out}
+    assert len(bits) == 2 and all(b < 300 * 1.5 for b in bits.values()), bits  # one free choice a word; four bytes take two
+
+
 def test_base_score_equals_brute_force(docs, texts):
     from collections import Counter
 
