@@ -3,6 +3,9 @@
 The page becomes a tree; each paragraph gives points for its length and commas to its ancestors, halved at
 each step up; a container's points are discounted by its link density; the best container is kept together
 with its siblings that score enough or are plain paragraphs of prose.
+
+A name (class, id or role) that sounds like a side matter only lowers the points below it. The subtree goes if it also
+has little prose or many links, and holds no article, no main and not the best container.
 """
 
 from __future__ import annotations
@@ -20,15 +23,29 @@ DROPPED = {"script", "style", "noscript", "template", "head", "nav", "footer", "
 BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-KEPT_ROOT = {"html", "body", "article", "main"}
+UNLIKELY = re.compile(r"ads?|advert(?:s|ising|isements?)?|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav(?:bar|igation|s)?|newsletter|notice|pagination|popup|promo(?:s|ted|tions?)?|related|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|toolbar|widgets?", re.I)
+#: Words that say nothing beside an unlikely one: page-footer, related-links.
+NEUTRAL = re.compile(r"site|page|main|top|bottom|left|right|primary|secondary|global|box|bar|list|links?|posts?|articles?|wrapper|wrap|container|block|section|area|inner|outer|items?|buttons?|icons?|unit|slot|\d+", re.I)
+FAINT, LITTLE_PROSE, MANY_LINKS = 0.25, 80, 0.5
+NEVER_UNLIKELY = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "blockquote", "td", "th"}
+
+
+def unlikely(marks: str) -> bool:
+    """Whether one of the names, taken whole, has unlikely words and else neutral ones only."""
+    for name in marks.split():
+        parts = [w for w in re.split("[-_]+", name) if w]
+        said = [w for w in parts if not NEUTRAL.fullmatch(w)]
+        if said and all(UNLIKELY.fullmatch(w) for w in said):
+            return True
+    return False
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points")
+    __slots__ = ("tag", "parent", "items", "dropped", "points", "named", "faint")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
         self.tag, self.parent, self.items, self.dropped, self.points = tag, parent, [], dropped, 0.0
+        self.named, self.faint = named, named or parent is not None and parent.faint
 
 
 class Tree(HTMLParser):
@@ -46,7 +63,7 @@ class Tree(HTMLParser):
             self.end_open(CLOSED_BY[tag], SCOPE[tag])
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        node = Node(tag, self.at, tag in DROPPED or hidden or tag not in KEPT_ROOT and bool(UNLIKELY.search(marks)))
+        node = Node(tag, self.at, tag in DROPPED or hidden, tag not in NEVER_UNLIKELY and unlikely(marks))
         if tag == "header":  # a page's header goes, an article's own stays
             up = self.at
             while up and up.tag not in ("article", "main"):
@@ -136,12 +153,11 @@ def measure(top: Node) -> dict[int, tuple[int, int, int]]:
     return found
 
 
-def main_text(html: str | None) -> str:
-    """The main text: one line for each block, white space inside it made single spaces."""
-    tree = Tree()
-    tree.feed(html or "")
-    HTMLParser.close(tree)
-    sizes, nodes = measure(tree.top), [x for what, x in walk(tree.top) if what == "open" and x.tag not in VOID]
+def scored(top: Node):
+    """The sizes below each node and the nodes, which get their points."""
+    sizes, nodes = measure(top), [x for what, x in walk(top) if what == "open" and x.tag not in VOID]
+    for x in nodes:
+        x.points = 0.0
     for x in nodes:
         if x.tag in ("p", "pre", "td", "blockquote") or x.tag in ("div", "section", "article", "main", "body") and any(isinstance(y, str) and y.strip() for y in x.items):
             n, linked, commas = sizes[id(x)]
@@ -152,9 +168,37 @@ def main_text(html: str | None) -> str:
             while up and share > 0.1:
                 up.points += points * share
                 up, share = up.parent, share / 2
+    return sizes, nodes
+
+
+def weak(nodes: list[Node], sizes: dict, best: Node) -> list[Node]:
+    """The nodes of unlikely name with little prose or many links that hold neither article, main nor best."""
+    holds = set()
+    for x in nodes:
+        if x is best or x.tag in ("article", "main"):
+            while x and id(x) not in holds:
+                holds.add(id(x))
+                x = x.parent
+    return [x for x in nodes if x.named and id(x) not in holds and (sizes[id(x)][0] - sizes[id(x)][1] < LITTLE_PROSE or sizes[id(x)][1] > MANY_LINKS * sizes[id(x)][0])]
+
+
+def main_text(html: str | None) -> str:
+    """The main text: one line for each block, white space inside it made single spaces."""
+    tree = Tree()
+    tree.feed(html or "")
+    HTMLParser.close(tree)
+    sizes, nodes = scored(tree.top)
     density = lambda x: sizes[id(x)][1] / max(1, sizes[id(x)][0])
-    score = lambda x: x.points * (1 - density(x)) * (1.5 if x.tag in ("article", "main") else 1)
+    score = lambda x: x.points * (1 - density(x)) * (1.5 if x.tag in ("article", "main") else 1) * (FAINT if x.faint else 1)
     best = max(nodes, key=score)
+    if any(x.named for x in nodes) and (gone := weak(nodes, sizes, best)):
+        for x in gone:
+            x.dropped = True
+        if not blocks([tree.top]):  # all the text there is
+            for x in gone:
+                x.dropped = False
+        sizes, nodes = scored(tree.top)
+        best = max(nodes, key=score)
     if not best.points:
         return "\n".join(blocks([tree.top]))
     while best.parent and best.parent.tag in ("article", "main"):
