@@ -3,14 +3,15 @@
 Words are hashed to BUCKETS embeddings; filters of several widths run over the whole text; each filter's
 maximum goes to a logistic layer. One embedding dimension starts from the words' smoothed log odds in one half
 of the training rows, the network is trained on the other half. The raw score is calibrated (Platt) on rows kept
-out of training, so that THRESHOLD means the same everywhere; thresholds() gives one for each language.
+out of training, so that THRESHOLD means the same everywhere. The filter, drop_toxic(), has a threshold for each language,
+fitted on labelled rows kept out of training.
 """
 
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -18,6 +19,8 @@ from .common import table
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 #: The model is fitted on so many labelled rows of each class at most, chosen by a hash, of so many code points at most.
 SAMPLE, SAMPLE_CHARS, EPOCHS, THRESHOLD = 2500, 20_000, 6, 0.3
+#: Thresholds by language are multiples of 1 / STEPS, and need so many labelled rows of each class.
+STEPS, LEAST = 20, 20
 WORD = re.compile(r"\w+")
 
 
@@ -178,17 +181,19 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), score(docs["text"]).alias("score"))
 
 
-def thresholds(rows: list[tuple[str, float, int]], start: float = THRESHOLD) -> dict[str, float]:
-    """The threshold with the best F1 in each language, `start` where a language has under 20 rows of a class."""
+def thresholds(counts: list[tuple[str, int, int, int]], start: float = THRESHOLD) -> dict[str, float]:
+    """The threshold with the best F1 in each language, `start` where a language has under LEAST rows of a class.
+
+    counts: language, the score in whole steps of 1 / STEPS, label, rows."""
     out = {}
-    for lang in {r[0] for r in rows}:
-        mine = [(s, y) for g, s, y in rows if g == lang]
-        hits = sum(y for _, y in mine)
-        if min(hits, len(mine) - hits) < 20:
+    for lang in {r[0] for r in counts}:
+        mine = [r[1:] for r in counts if r[0] == lang]
+        total, hits = sum(n for *_, n in mine), sum(n for _, y, n in mine if y)
+        if min(hits, total - hits) < LEAST:
             out[lang] = start
             continue
-        f1 = lambda c, mine=mine, hits=hits: 2 * sum(y for s, y in mine if s >= c) / max(1, hits + sum(s >= c for s, _ in mine))
-        out[lang] = max((k / 20 for k in range(2, 19)), key=lambda c: (f1(c), -abs(c - start)))
+        f1 = lambda k, mine=mine, hits=hits: 2 * sum(n for b, y, n in mine if y and b >= k) / max(1, hits + sum(n for b, _, n in mine if b >= k))
+        out[lang] = max(range(2, STEPS - 1), key=lambda k: (f1(k), -abs(k / STEPS - start))) / STEPS
     return out
 
 
@@ -204,6 +209,30 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def language_counts(docs: DataFrame, labels: DataFrame, model: dict, usable: Column) -> list[tuple[str, int, int, int]]:
+    """thresholds()' counts of the labelled rows for which usable holds; languages with LEAST rows of both classes only.
+
+    At most 2 * STEPS rows a language are collected. A doc_id labelled both ways counts as toxic."""
+    known = labels.filter(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    mine = docs.filter(usable & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(known, "doc_id")
+    step = F.least(F.floor(F.col("score") * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")
+    hist = scored(mine, model).groupBy("row.lang", step, "row.toxic").count()
+    each = Window.partitionBy("lang")
+    of = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("count")).otherwise(0)).over(each)
+    rows = hist.withColumn("toxics", of(1)).withColumn("cleans", of(0)).filter(F.least("toxics", "cleans") >= LEAST)
+    return [(r["lang"], r["step"], r["toxic"], r["count"]) for r in rows.collect()]
+
+
+def limit_of(lang: Column, limits: dict[str, float]) -> Column:
+    """The threshold of a language; THRESHOLD for a null one and one without its own."""
+    if not limits:
+        return F.lit(THRESHOLD)
+    pairs = F.create_map(*[F.lit(v) for pair in sorted(limits.items()) for v in pair])
+    return F.coalesce(F.try_element_at(pairs, lang), F.lit(THRESHOLD))
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) below the threshold of their language, which is fitted on fold 2; the model on the others."""
     model = fit(docs, labels, fold() != 2)
-    return scored(docs, model).filter(F.col("score") < THRESHOLD).select("row.*")
+    limits = thresholds(language_counts(docs, labels, model, fold() == 2))
+    return scored(docs, model).filter(F.col("score") < limit_of(F.col("row.lang"), limits)).select("row.*")

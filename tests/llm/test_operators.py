@@ -205,6 +205,20 @@ def test_toxicity_learns_planted_words():
     assert min(hits) > 0.3 > max(clean)
 
 
+def test_filter_has_a_threshold_for_each_language(spark, monkeypatch):
+    """Toxic texts score 0.6 in aa and 0.25 in bb, clean ones 0.4 and 0.1; cc and null have too few labels for their own."""
+    value = {("aa", 1): 0.6, ("aa", 0): 0.4, ("bb", 1): 0.25, ("bb", 0): 0.1, ("cc", 1): 0.32, ("cc", 0): 0.28, (None, 1): 0.32, (None, 0): 0.28}
+    keys = list(value)
+    rows = [(i, str(value[keys[i % (8 if i < 80 else 4)]]), keys[i % (8 if i < 80 else 4)][0]) for i in range(600)]
+    labels = [(i, keys[i % (8 if i < 80 else 4)][1]) for i in range(600)]
+    monkeypatch.setattr(toxicity, "fit", lambda *a: {})
+    monkeypatch.setattr(toxicity, "scored", lambda docs, model: docs.select(F.struct(*docs.columns).alias("row"), docs["text"].cast("double").alias("score")))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = toxicity.drop_toxic(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == d.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, y in labels if not y}
+
+
 def test_html_main_text():
     page = "<html><head><title>t</title></head><body><header>Site</header><nav><a href=x>menu</a></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head &amp; line</h1><p>First,  long\n paragraph &eacute; of the text, with commas, and words.<p>Second &#8212; <b>bold <i>text</i></b>.<ul><li>one<li>two</ul></article><div id='comments'><p>A reader, comments, at length, here.</p></div><footer>foot</footer><script>var a='</p>';</script></body></html>"
     assert html_text.main_text(page) == "Head & line\nFirst, long paragraph é of the text, with commas, and words.\nSecond — bold text.\none\ntwo"
