@@ -8,6 +8,7 @@ is carved out. Matches inside a confirmed medium are passed over.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -87,6 +88,17 @@ def bmp_length(b: bytes, at: int) -> int:
 
 
 def pdf_length(b: bytes, at: int) -> int:
+    """Up to the last %%EOF before another PDF whose startxref points, from at, to a cross-reference; if there is none, the
+    other PDF is inside this one, and the last such %%EOF after it counts; else the last %%EOF before the other."""
+    other = b.find(b"%PDF-", at + 5)
+    other, valid, inside, near = len(b) if other < 0 else other, 0, 0, 0
+    for m in re.compile(rb"startxref\s+(\d{1,18})\s+%%EOF").finditer(b, at):
+        if re.compile(rb"xref\b|\d+\s+\d+\s+obj\b").match(b, min(m.end(), at + int(m[1])), m.end()):
+            valid, inside = (m.end() - at, inside) if m.end() <= other else (valid, m.end() - at)
+        if m.end() <= other:
+            near = m.end() - at
+    if valid or inside or near:
+        return valid or inside or near
     end = b.find(b"%%EOF", at)
     return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
 

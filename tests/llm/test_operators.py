@@ -107,6 +107,20 @@ def test_media_round_trip_and_carving(spark):
     assert got == [("k", at, len(png), "image/png", False, True), ("k", at + len(png) + 3, len(inner), "image/gif", False, True), (None, 0, len(png), "image/png", True, False)]
 
 
+def test_updated_and_linearised_pdfs_are_carved_whole():
+    def part(body, at, ref=None):
+        return body + b"xref\n0 0\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % (at + len(body) if ref is None else ref)
+
+    one = part(b"%PDF-1.4\n1 0 obj null endobj\n", 0)
+    updated = one + part(b"\n2 0 obj null endobj\n", len(one))
+    first = part(b"%PDF-1.4\n1 0 obj null endobj\n", 0, 0)
+    linear = first + part(b"\n2 0 obj null endobj\n", len(first))
+    pdf = lambda *spans: [(at, len(x), "application/pdf") for at, x in spans]
+    for x in (one, updated, linear):
+        assert media.sniff(b"noise" + x, media.automaton()) == pdf((5, x))
+        assert media.sniff(x + one, media.automaton()) == pdf((0, x), (len(x), one))
+
+
 def test_best_two_fit_places_all_once():
     r = random.Random(5)
     lengths = [min(4096, int(r.lognormvariate(6, 1)) + 1) for _ in range(4000)]
