@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,23 +15,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Runtime setting that deletes a query's shuffle files once the query has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (master local)
+    gets a temporary folder; any other uses a folder below the warehouse, and is refused if that is a machine's own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="skein-shared-")
+    if not path and re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        path = tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", path)
+    if not path:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if path.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return path.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back.
 
-    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning
-    for later reads."""
+    This cuts lineage like checkpoint(), survives lost executors, and keeps column pruning for later reads. The shuffle
+    files of the writing query are deleted when it has ended: the table stands for them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
     return out
@@ -76,3 +91,80 @@ class WordHashes:
                 if w not in known:
                     known[w] = xxh3_64_intdigest(w)
             return np.array([known[w] for w in words], np.uint64)
+
+
+class SlotTable:
+    """64-bit keys to positions in numpy arrays, open addressing, at most half full. Key 0 stands for an empty slot and is
+    taken for 1."""
+
+    def __init__(self, bits: int = 12):
+        import numpy as np
+
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def _slots(self, keys):
+        import numpy as np
+
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys):
+        """The value of each key, -1 where it is absent."""
+        import numpy as np
+
+        keys = np.maximum(keys, np.uint64(1))
+        at = self._slots(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+        return out
+
+    def add(self, keys, values):
+        """Distinct absent keys with their values."""
+        import numpy as np
+
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            full = self.keys != 0
+            old = self.keys[full], self.values[full]
+            self.__init__(max(12, int(4 * (self.n + len(keys)) - 1).bit_length()))
+            self.add(*old)
+        self.n += len(keys)
+        keys = np.maximum(keys, np.uint64(1))
+        at, todo = self._slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = keys[free]  # of several at one slot the last stays
+            won = free[self.keys[at[free]] == keys[free]]
+            self.values[at[won]] = values[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+
+
+class RunHashes:
+    """64-bit hashes of runs of a sequence, from prefix sums: symbols get random numbers, places powers of an odd base."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, symbols: int, seed: int = 11):
+        import numpy as np
+
+        self.numbers = np.random.default_rng(seed).integers(1, 2**63, symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.power = self.back = np.ones(1, np.uint64)
+
+    def __call__(self, x, starts, ends):
+        import numpy as np
+
+        if len(self.power) < len(x) + 1:
+            n = max(len(x) + 1, 1 << 20)
+            step = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+            self.power, self.back = step(self.BASE), step(pow(self.BASE, -1, 1 << 64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.numbers[x] * self.power[: len(x)])])
+        out = (total[ends] - total[starts]) * self.back[starts]
+        out ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return out ^ out >> np.uint64(29)

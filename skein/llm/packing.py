@@ -14,9 +14,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import RunHashes, SlotTable, materialize, table
 
 CAPACITY, END_ID, GROUP = 4096, 1, 30_000
+#: Code points taken at once.
+CHUNK = 1 << 20
+#: Words are merged in classes of so many bytes at most; longer ones go through the tokenizer.
+WORD_SIZES = (6, 11, 24)
 
 
 def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -64,32 +68,249 @@ def best_two_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of each document's token ids followed by end_id."""
+class Merges:
+    """Byte pair merges of many words at once, each word a row of symbol ids."""
 
-    def run(batches: Iterator) -> Iterator:
+    def __init__(self, vocabulary: str):
+        import json
+        from pathlib import Path
+
+        import numpy as np
+
+        model = json.loads(Path(vocabulary).read_text(encoding="utf-8"))["model"]
+        ids, end = model["vocab"], model["end_of_word_suffix"]
+        # bytes as signs: printable ones stand for themselves, the others follow from 256 on
+        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or 174 <= b]
+        signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.inner = np.array([ids[signs[b]] for b in range(256)], np.int64)
+        self.final = np.array([ids[signs[b] + end] for b in range(256)], np.int64)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        rank_of = {}
+        for rank, (a, b) in enumerate(pairs):
+            rank_of.setdefault((ids[a] + 1) << 32 | ids[b] + 1, rank)
+        self.pairs, self.none = SlotTable(17), len(pairs)
+        self.pairs.add(np.array(list(rank_of), np.uint64), np.array(list(rank_of.values())))
+        self.made = np.array([ids[a + b] for a, b in pairs], np.int32)
+
+    def rank(self, a, b):
+        """The rank of each pair; `none` for those that don't merge."""
+        import numpy as np
+
+        keys = (a + 1).astype(np.uint64) << np.uint64(32) | (b + 1).astype(np.uint64)
+        found = self.pairs.find(keys.ravel()).reshape(keys.shape)
+        return np.where(found < 0, self.none, found).astype(np.int32)
+
+    def __call__(self, raw, starts, ends):
+        """The ids of the words raw[starts:ends] (UTF-8 bytes), in a row, and how many each word has."""
+        import numpy as np
+
+        size, most = ends - starts, int((ends - starts).max())
+        at = starts[:, None] + np.arange(most)
+        sign = raw[np.minimum(at, len(raw) - 1)]
+        rows = np.where(at < ends[:, None] - 1, self.inner[sign], np.where(at == ends[:, None] - 1, self.final[sign], -1)).astype(np.int32)
+        ids, live, rank = np.full_like(rows, -1), np.arange(len(size)), self.rank(rows[:, :-1], rows[:, 1:])
+        for width in range(most, 0, -1):  # each round merges the first pair of least rank in every row that has one
+            n = np.arange(len(live))
+            at = rank.argmin(axis=1) if width > 1 else n
+            best = rank[n, at] if width > 1 else np.full(len(live), self.none)
+            go = best < self.none
+            ids[live[~go], :width] = rows[~go]
+            live, rows, rank, at, best = live[go], rows[go], rank[go], at[go], best[go]
+            if not len(live):
+                break
+            n, part = np.arange(len(live)), np.ones((len(live), width), bool)
+            rows[n, at], part[n, at + 1] = self.made[best], False
+            rows = rows[part].reshape(len(live), width - 1)
+            size[live] -= 1
+            part = part[:, 1:]  # the pair's own place
+            rank = rank[part].reshape(len(live), width - 2)
+            if width > 2:
+                left, right = np.maximum(at - 1, 0), np.minimum(at, width - 3)
+                rank[n, left] = self.rank(rows[n, left], rows[n, left + 1])
+                rank[n, right] = self.rank(rows[n, right], rows[n, right + 1])
+        return ids[np.arange(most) < size[:, None]], size
+
+
+class WordIds:
+    """Token ids of whole texts, put together from the ids of their words.
+
+    The vocabulary's pre-tokenizer keeps the matches of one expression on composed, lower-cased text: a contraction, a run
+    of letters, a single digit, or a run of other signs; each match is encoded by itself. So a text's ids are its words' ids
+    in a row. Words are found and hashed in numpy, for many texts at once; a table of 64-bit hashes gives the ids of known
+    words, and only unknown ones are merged pair by pair, many at once. Texts with the literal form of a special
+    token, with signs whose lower case or composition changes their number, or beyond the first plane go through it whole.
+    Tables that have grown beyond `limit` words start anew, which costs time only."""
+
+    SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+    #: What may follow a lone apostrophe to form a word with it.
+    CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+    def __init__(self, vocabulary: str, limit: int = 1_500_000):
         import os
-        import zlib
+        import unicodedata
 
         import numpy as np
-        import pandas as pd
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(vocabulary)
+        tok = self.tok = Tokenizer.from_file(vocabulary)
         tok.no_truncation()
         tok.no_padding()
-        tok.encode_special_tokens = True
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.merges = Merges(vocabulary)
+        self.kind, self.lower = np.full(1 << 16, self.OTHER, np.uint8), np.arange(1 << 16, dtype=np.uint16)
+        for c in range(1 << 16):
+            ch = chr(c)
+            if ch.isspace() and not 0x1C <= c <= 0x1F:
+                self.kind[c] = self.SPACE
+                continue
+            low, group = ch.lower(), unicodedata.category(ch)
+            if len(low) != 1 or group in ("Cs", "Cn"):
+                self.kind[c] = self.ODD
+                continue
+            self.lower[c] = ord(low)
+            self.kind[c] = self.LETTER if group[0] == "L" else self.DIGIT if group[0] == "N" else self.OTHER
+        self.hashes, self.limit = RunHashes(1 << 16), limit
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+
+        self.known, self.starts, self.sizes, self.flat, self.used, self.words = SlotTable(16), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0, 0
+
+    def plain(self, text: str) -> bool:
+        import unicodedata
+
+        return not any(s in text for s in self.special) and unicodedata.is_normalized("NFC", text)
+
+    def cut(self, x, kind):
+        """Start and end of each word of the code units x (kind: their kinds)."""
+        import numpy as np
+
+        new = np.ones(len(x) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == self.DIGIT)
+        quotes = np.flatnonzero(x == ord("'"))
+        quotes = quotes[new[quotes] & new[quotes + 1]]
+        follow = lambda at, j: np.where(at + j < len(x), x[np.minimum(at + j, len(x) - 1)], 0)
+        for said in self.CONTRACTIONS:
+            if len(quotes):
+                fits = np.logical_and.reduce([follow(quotes, j) == ord(c) for j, c in enumerate(said, 1)])
+                new[quotes[fits] + 1] = False
+                new[quotes[fits] + 1 + len(said)] = True
+                quotes = quotes[~fits]
+        edge = np.flatnonzero(new)
+        starts, ends = edge[:-1], edge[1:]
+        word = kind[starts] != self.SPACE
+        return starts[word], ends[word]
+
+    def learn(self, x, keys, starts, ends) -> None:
+        """Words of x at starts and ends, with their distinct keys, go into the tables."""
+        import numpy as np
+
+        if self.words + len(keys) > self.limit:
+            self.clear()
+        if not len(keys):
+            return
+        n = ends - starts
+        stop = np.cumsum(n + 1)
+        units = np.full(stop[-1], 10, np.uint16)
+        units[np.repeat(stop - n - 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())] = x[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        raw = np.frombuffer(units.tobytes().decode("utf-16-le").encode(), np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        low = 0
+        for most in WORD_SIZES:
+            which = np.flatnonzero((ends - starts > low) & (ends - starts <= most))
+            low = most
+            for part in (which[i : i + 20000] for i in range(0, len(which), 20000)):
+                self.keep(keys[part], *self.merges(raw, starts[part], ends[part]))
+        for i in np.flatnonzero(ends - starts > low):
+            ids = np.array(self.tok.encode(raw[starts[i] : ends[i]].tobytes().decode(), add_special_tokens=False).ids)
+            self.keep(keys[i : i + 1], ids, np.array([len(ids)]))
+
+    def keep(self, keys, ids, sizes) -> None:
+        import numpy as np
+
+        n = len(keys)
+        for name, need in (("starts", self.words + n), ("sizes", self.words + n), ("flat", self.used + len(ids))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, len(held)), held.dtype)]))
+        self.starts[self.words : self.words + n], self.sizes[self.words : self.words + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known.add(keys, np.arange(self.words, self.words + n))
+        self.words, self.used = self.words + n, self.used + len(ids)
+
+    def __call__(self, texts: list[str]) -> list:
+        """An array of ids for each text."""
+        import numpy as np
+
+        plain = [self.plain(t) for t in texts]
+        x = np.frombuffer("\n".join(t if p else "" for t, p in zip(texts, plain)).encode("utf-16-le", "surrogatepass"), np.uint16)
+        kind = self.kind[x]
+        breaks = np.concatenate([[0], np.cumsum([0 if not p else len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2 for t, p in zip(texts, plain)]) + np.arange(1, len(texts) + 1)])
+        if (kind == self.ODD).any():
+            for i in set(np.searchsorted(breaks, np.flatnonzero(kind == self.ODD), "right") - 1):
+                plain[i] = False
+        x = self.lower[x]
+        starts, ends = self.cut(x, kind) if len(x) else (np.zeros(0, np.int64),) * 2
+        keys = self.hashes(x, starts, ends)
+        found = self.known.find(keys)
+        if (found < 0).any():
+            new, first = np.unique(np.maximum(keys[found < 0], np.uint64(1)), return_index=True)
+            first = np.flatnonzero(found < 0)[first]
+            fresh = self.words + len(new) > self.limit
+            ok = ~(kind[starts[first]] == self.ODD)
+            self.learn(x, new[ok], starts[first][ok], ends[first][ok])
+            if fresh:  # the tables were cleared: words known before are missing, too
+                found = self.known.find(keys)
+                new, first = np.unique(np.maximum(keys[found < 0], np.uint64(1)), return_index=True)
+                first = np.flatnonzero(found < 0)[first]
+                ok = ~(kind[starts[first]] == self.ODD)
+                self.learn(x, new[ok], starts[first][ok], ends[first][ok])
+            found = self.known.find(keys)
+        sizes = np.where(found < 0, 0, self.sizes[found])
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.flat[np.repeat(self.starts[found] - total[:-1], sizes) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(starts, breaks)]
+        return [flat[a:b] if p else np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for t, p, a, b in zip(texts, plain, cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(vocabulary: str) -> WordIds:
+    """The tables of this worker, which later tasks find filled."""
+    if vocabulary not in _WORD_IDS:
+        _WORD_IDS[vocabulary] = WordIds(vocabulary)
+    return _WORD_IDS[vocabulary]
+
+
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of each document's token ids followed by end_id."""
+
+    def run(batches: Iterator) -> Iterator:
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        ids_of, last = word_ids(vocabulary), np.array([end_id], np.uint32)
         for b in batches:
-            for at in range(0, len(b), 200):
-                out, texts = [], [t or "" for t in b["text"].iloc[at : at + 200]]
-                for doc_id, e in zip(b["doc_id"].iloc[at : at + 200], tok.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*e.ids, end_id], "<u4")
+            texts = [t or "" for t in b["text"]]
+            out, at = [], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= CHUNK):
+                    size, to = size + len(texts[to]), to + 1
+                for doc_id, ids in zip(b["doc_id"].iloc[at:to], ids_of(texts[at:to])):
+                    ids = np.concatenate([ids, last]).astype("<u4")
                     for p, start in enumerate(range(0, len(ids), capacity)):
                         x = ids[start : start + capacity]
                         out.append((doc_id, p, start, len(x), zlib.crc32(x.tobytes())))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                at = to
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -262,3 +262,31 @@ def test_rows_without_id_and_repeated_rows(spark):
     for f in (minhash.near_duplicates, repeats.dedup, secrets.scan, packing.pack_documents, lambda d: context_tree.score_documents(d, F.lit(True))):
         assert f(d).count() == 4
     assert zlib.crc32(b"") == 0
+
+
+def test_ids_of_words_equal_the_plain_call(spark, texts):
+    """The query's pieces, lengths and checksums against the tokenizer's own call, literal special tokens included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    odd = ["x <|endoftext|> y<|startoftext|>", "don't 'tis ''s it's'll we'VE'd '", "ΣΑΣ Σ İstanbul ẞtraße é", "\x1c\x1d x\x85y　z", "12½² ٣ 日本語😀 “q”—…", "w" * 300 + " " + "é" * 90, "a b " * 5000]
+    rows = texts + [(1000 + i, t) for i, t in enumerate(odd)]
+    got = {}
+    for r in packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for i, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want = [(p, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for p, s in enumerate(range(0, len(ids), 4096))]
+        assert sorted(got[i]) == want, t
+
+
+def test_word_tables_start_anew_when_full(texts):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    one, small = packing.WordIds(path), packing.WordIds(path, limit=50)
+    for at in range(0, len(texts), 7):
+        part = [t or "" for _, t in texts[at : at + 7]]
+        assert [x.tolist() for x in one(part)] == [x.tolist() for x in small(part)] == [one.tok.encode(t, add_special_tokens=False).ids for t in part]
