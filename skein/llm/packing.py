@@ -208,8 +208,6 @@ class WordIds:
         """Words of x at starts and ends, with their distinct keys, go into the tables."""
         import numpy as np
 
-        if self.words + len(keys) > self.limit:
-            self.clear()
         if not len(keys):
             return
         n = ends - starts
@@ -258,17 +256,12 @@ class WordIds:
         keys = self.hashes(x, starts, ends)
         found = self.known.find(keys)
         if (found < 0).any():
-            new, first = np.unique(np.maximum(keys[found < 0], np.uint64(1)), return_index=True)
-            first = np.flatnonzero(found < 0)[first]
-            fresh = self.words + len(new) > self.limit
-            ok = ~(kind[starts[first]] == self.ODD)
-            self.learn(x, new[ok], starts[first][ok], ends[first][ok])
-            if fresh:  # the tables were cleared: words known before are missing, too
-                found = self.known.find(keys)
-                new, first = np.unique(np.maximum(keys[found < 0], np.uint64(1)), return_index=True)
-                first = np.flatnonzero(found < 0)[first]
-                ok = ~(kind[starts[first]] == self.ODD)
-                self.learn(x, new[ok], starts[first][ok], ends[first][ok])
+            if self.words > self.limit:
+                self.clear()
+                found[:] = -1
+            unseen = np.flatnonzero((found < 0) & (kind[starts] != self.ODD))
+            new, first = np.unique(np.maximum(keys[unseen], np.uint64(1)), return_index=True)
+            self.learn(x, new, starts[unseen[first]], ends[unseen[first]])
             found = self.known.find(keys)
         sizes = np.where(found < 0, 0, self.sizes[found])
         total = np.concatenate([[0], np.cumsum(sizes)])
