@@ -5,10 +5,16 @@ far) holds zeros and ones seen in training; a node's weighted probability is hal
 half the product of its longer contexts'. The posterior weights then mix the estimates of all depths along a context's
 path. Where a longer context was never seen, the estimate of the longest one seen stands for it.
 
-Texts are lower-cased (A-Z), preceded by DEPTH bytes 255 and closed by one. Corpus counts (the DEPTH + 1-grams) grow with
-the input and stay in a table. They are dealt into buckets of about BUCKET grams by the last two context bytes, so each
-bucket's subtrees below depth 1 are whole; the 65,280 nodes of depth 1 and 0 are summed over buckets. The value of each
-gram is computed once, in its bucket; the values meet the documents in blocks of BLOCK, one pass over the documents each.
+Texts are lower-cased (A-Z), preceded by DEPTH bytes 255 and closed by one. What is gathered from the corpus grows with it
+and stays distributed:
+1. Rows are written once with a key; GROUP rows in a row form a group. Each group sends its distinct grams (context and
+   byte) and words with their counts, sorted and packed into arrays, to buckets: grams by the last two context bytes, so
+   that a bucket's subtrees below depth 1 are whole, words by hash.
+2. Buckets merge the arrays and sum up what belongs to depth 1 and 0; those 65,280 nodes at most are collected.
+3. Each bucket computes the value of each of its grams once and sends it back to the groups that asked.
+4. A group's texts are read behind its replies in one sorted partition, batch by batch.
+
+Rows between groups and buckets number groups times buckets at most; no row stands for a place of a text.
 """
 
 from __future__ import annotations
@@ -19,41 +25,88 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, word_bytes
+from .common import RunHashes, SlotTable, discard, materialize, table
 
-DEPTH, BLOCK, BUCKET, CHUNK, FLUSH = 6, 4_000_000, 200_000, 4 << 20, 2_000_000
-END = 255
+DEPTH, END = 6, 255
+#: Rows of a group, bytes of text for each bucket, bytes of text taken at once, grams held by a group before it sends them.
+GROUP, BUCKET_BYTES, CHUNK, FLUSH = 1 << 14, 32 << 20, 4 << 20, 4_000_000
+#: Key of the word that ends each text.
+END_WORD = 2
 
 
-def grams(texts: list[bytes]):
-    """The gram (context, byte) at each coded place of all texts, and the index of each place's text."""
+def raw_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def chunks(raws: list[bytes], most: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+    """Index of the first, and `most` texts or about CHUNK bytes in a row."""
+    at, size = 0, 0
+    for i, raw in enumerate(raws):
+        size += len(raw)
+        if size >= CHUNK or i + 1 - at == most or i + 1 == len(raws):
+            yield at, raws[at : i + 1]
+            at, size = i + 1, 0
+
+
+def grams(raws: list[bytes]):
+    """The gram (context, byte) at each coded place of all texts, text after text: as many as bytes and one for each."""
     import numpy as np
 
     pad = bytes([END]) * DEPTH
-    x = np.frombuffer(b"".join(pad + t + pad[:1] for t in texts), np.uint8)
-    key = np.zeros(max(0, len(x) - DEPTH), np.uint64)
-    for j in range(DEPTH + 1):
-        key = key << np.uint64(8) | x[j : j + len(key)]
-    n = np.array([len(t) + 1 for t in texts])
-    starts = np.cumsum(n + DEPTH) - (n + DEPTH)
+    x = np.frombuffer(b"".join(pad + t + pad[:1] for t in raws), np.uint8)
+    two = x[:-1].astype(np.uint16) << 8 | x[1:]
+    four = two[:-2].astype(np.uint32) << 16 | two[2:]
+    key = four[:-3].astype(np.uint64) << np.uint64(24) | (four[3:] & np.uint32(0xFFFFFF))
+    n = np.array([len(t) + 1 for t in raws])
     use = np.ones(len(key) + DEPTH, bool)
+    starts = np.cumsum(n[:-1] + DEPTH)
     for j in range(DEPTH):  # places whose byte belongs to the padding of the next text
-        use[starts[1:] - DEPTH + j] = False
-    use = use[: len(key)]
-    return key[use], np.repeat(np.arange(len(texts)), n)
+        use[starts - DEPTH + j] = False
+    return key[use[: len(key)]], n
 
 
-def chunks(ids, texts):
-    """Lists of (id, text) of about CHUNK bytes."""
-    part, size = [], 0
-    for i, t in zip(ids, texts):
-        part.append((i, (t or "").encode("utf-8", "surrogatepass").lower()))
-        size += len(part[-1][1])
-        if size >= CHUNK:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+class Words:
+    """Keys of the words of texts, their ends included."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.hashes = RunHashes(256)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+
+    def __call__(self, raws: list[bytes]):
+        """The keys, and the index of each key's text."""
+        import numpy as np
+
+        x = np.frombuffer(b"\n" + b"\n".join(raws) + b"\n", np.uint8)
+        space = self.space[x]
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        begin = np.cumsum([1] + [len(r) + 1 for r in raws])
+        of = np.searchsorted(begin, starts, "right") - 1
+        keys = np.maximum(self.hashes(x, starts, ends), np.uint64(END_WORD + 1))
+        return np.concatenate([keys, np.full(len(raws), END_WORD, np.uint64)]), np.concatenate([of, np.arange(len(raws))])
+
+
+def counted(keys):
+    """Sorted distinct keys with their number."""
+    import numpy as np
+
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def merged(keys, n):
+    """Sorted distinct keys, the sums of n and the index of each key among them."""
+    import numpy as np
+
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], np.bincount(back, n, minlength=int(new.sum())) if len(keys) else np.zeros(0), back
 
 
 def log_gamma(x):
@@ -70,203 +123,309 @@ def kt(a, b):
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-def summed(key, *columns):
+class Layer:
+    """The nodes of one depth: keys are its grams (context, byte) in order, so the nodes of each bit level are runs."""
+
+    def __init__(self, keys, n):
+        import numpy as np
+
+        self.keys, self.n, self.node, self.first, self.a, self.b, self.weight, self.total = keys, n, [], [], [], [], [], []
+        for level in range(8):
+            head = keys >> np.uint64(8 - level)
+            new = np.concatenate([[True], head[1:] != head[:-1]])
+            node, bit = np.cumsum(new) - 1, (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+            self.node.append(node)
+            self.first.append(np.flatnonzero(new))
+            self.a.append(np.bincount(node, np.where(bit, 0, n)))
+            self.b.append(np.bincount(node, np.where(bit, n, 0)))
+
+    def weigh(self, deeper: Layer | None = None, up=None) -> None:
+        """Weights of the own estimates against those of the deeper layer; up: index of each of its keys among mine."""
+        import numpy as np
+
+        for level in range(8):
+            own = kt(self.a[level], self.b[level])
+            if deeper is None:
+                self.total.append(own)
+                self.weight.append(np.ones(len(own)))
+                continue
+            total = math.log(0.5) + np.logaddexp(own, self.below(level, deeper, up))
+            self.total.append(total)
+            self.weight.append(np.exp(math.log(0.5) + own - total))
+
+    def below(self, level: int, deeper: Layer, up):
+        import numpy as np
+
+        return np.bincount(self.node[level][up[deeper.first[level]]], deeper.total[level], minlength=len(self.a[level]))
+
+
+def layers(keys, n, least: int):
+    """Layers of depth least..DEPTH, the deepest first, weighed but for the last; for each but the first, the index of the
+    keys above among its own."""
     import numpy as np
 
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], *[np.add.reduceat(c[order], first) for c in columns]
+    out, ups = [Layer(keys, n)], [None]
+    out[0].weigh()
+    for depth in range(DEPTH - 1, least - 1, -1):
+        short, n, up = merged(out[-1].keys & np.uint64((1 << 8 * (depth + 1)) - 1), out[-1].n)
+        out.append(Layer(short, n))
+        ups.append(up)
+        if depth > least:
+            out[-1].weigh(out[-2], up)
+    return out, ups
 
 
-def nodes(gram, n, least: int = 0):
-    """For depths least + 1..DEPTH: (keys, a, b, weight of the own estimate); then the sums for depth least."""
+def top_parts(keys, n):
+    """Nodes of depth 1 as (b1 << 8 | node), zeros, ones and the sum of what is below, from the grams of one bucket."""
     import numpy as np
 
-    ctx, byte, n = gram >> np.uint64(8), gram & np.uint64(255), n.astype(float)
-    key, a, b = [], [], []
+    out, ups = layers(keys, n, 1)
+    last, parts = out[-1], []
     for level in range(8):
-        node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
-        bit = (byte >> np.uint64(7 - level) & np.uint64(1)).astype(float)
-        key.append(ctx << np.uint64(8) | node)
-        a.append(n * (1 - bit))
-        b.append(n * bit)
-    key, a, b = summed(np.concatenate(key), np.concatenate(a), np.concatenate(b))
-    below, out = np.zeros(len(key)), []
-    for depth in range(DEPTH, least, -1):
+        k = last.keys[last.first[level]]
+        node = (k >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << level) | (k & np.uint64(255)) >> np.uint64(8 - level)
+        parts.append((node, last.a[level], last.b[level], last.below(level, out[-2], ups[-1])))
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def top_of(node, a, b, below):
+    """Depth 1 and depth 0 as arrays over (b1 << 8 | node) and node: zeros, ones, weight of the own estimate."""
+    import numpy as np
+
+    one, root = [np.zeros(1 << 16), np.zeros(1 << 16), np.ones(1 << 16)], [np.zeros(256), np.zeros(256), np.ones(256)]
+    if len(node):
         own = kt(a, b)
-        total = own if depth == DEPTH else math.log(0.5) + np.logaddexp(own, below)
-        out.append((key, a, b, np.ones(len(key)) if depth == DEPTH else np.exp(math.log(0.5) + own - total)))
-        shorter = (key >> np.uint64(8) & np.uint64((1 << 8 * (depth - 1)) - 1)) << np.uint64(8) | key & np.uint64(255)
-        key, a, b, below = summed(shorter, a, b, total)
-    return out[::-1], (key, a, b, below)
+        total = math.log(0.5) + np.logaddexp(own, below)
+        one[0][node], one[1][node], one[2][node] = a, b, np.exp(math.log(0.5) + own - total)
+        sums = [np.bincount(node & 255, v, minlength=256) for v in (a, b, total)]
+        own = kt(sums[0], sums[1])
+        root = [sums[0], sums[1], np.exp(own - np.logaddexp(own, sums[2]))]
+    return one, root
 
 
-def log10_p(gram, levels: list, root):
-    """log10 probability of each gram's byte in its context. root: arrays of 256, (a, b, weight)."""
+def values(keys, n, top):
+    """log10 probability of the byte of each gram of one bucket in its context."""
     import numpy as np
 
-    out, ctx, byte = np.zeros(len(gram)), gram >> np.uint64(8), gram & np.uint64(255)
+    out, ups = layers(keys, n, 2)
+    out[-1].weigh(out[-2], ups[-1])
+    logs = np.zeros(len(keys))
     for level in range(8):
-        node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
-        bit = (byte >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-        a, b, w = (r[node.astype(np.int64)] for r in root)
-        path = [((np.where(bit, b, a) + 0.5) / (a + b + 1), w)]
-        for depth, (keys, za, zb, zw) in enumerate(levels, 1):
-            key = (ctx & np.uint64((1 << 8 * depth) - 1)) << np.uint64(8) | node
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            seen = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            est = (np.where(bit, zb[at], za[at]) + 0.5) / (za[at] + zb[at] + 1) if len(keys) else path[-1][0]
-            path.append((np.where(seen, est, path[-1][0]), np.where(seen, zw[at], 1.0) if len(keys) else np.ones(len(key))))
-        p = path[-1][0]
-        for est, w in path[-2::-1]:
-            p = w * est + (1 - w) * p
-        out += np.log10(p)
-    return out
-
-
-def count_grams(docs: DataFrame, training=None) -> DataFrame:
-    """Every gram of docs, with its times n in the rows to learn from (all rows where training is None)."""
+        k = out[-1].keys
+        node = (np.uint64(1 << level) | (k & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)
+        bit = (k >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+        acc, rest, last, weight = np.zeros(len(k)), np.ones(len(k)), np.full(len(k), 0.5), np.zeros(len(k))
+
+        def see(state, bit, a, b, w):
+            """One depth further: where it was seen, its estimate is the one that stands for all deeper ones."""
+            acc, rest, last, weight = state
+            seen = a + b > 0
+            est = (np.where(bit, b, a) + 0.5) / (a + b + 1)
+            acc = np.where(seen, acc + rest * weight * last, acc)
+            rest = np.where(seen, rest * (1 - weight), rest)
+            return acc, rest, np.where(seen, est, last), np.where(seen, w, weight)
+
+        state = acc, rest, last, weight
+        for (a, b, w), at in ((top[1], node), (top[0], (k >> np.uint64(8) & np.uint64(255)).astype(np.int64) << 8 | node)):
+            state = see(state, bit, a[at], b[at], w[at])
+        for i in range(len(out) - 1, -1, -1):
+            if i < len(out) - 1:
+                state = tuple(s[ups[i + 1]] for s in state)
+            layer = out[i]
+            at, bit = layer.node[level], (layer.keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+            state = see(state, bit, layer.a[level][at], layer.b[level][at], layer.weight[level][at])
+        acc, rest, last, weight = state
+        logs += np.log10(acc + rest * last)
+    return logs
+
+
+def pack7(keys) -> bytes:
+    import numpy as np
+
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpack7(raw: bytes):
+    import numpy as np
+
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
+def bucket_of(n_buckets: int):
+    """The bucket of each pair of last context bytes."""
+    import numpy as np
+
+    return ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(RunHashes.BASE) >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.uint16)
+
+
+def send(n_buckets: int):
+    """Rows of a group's distinct grams and words for each bucket, with their times in the rows to learn from."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        frame = lambda key, n: pd.DataFrame({"gram": key.astype(np.int64), "n": n})
-        held, n_held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, place = Words(), bucket_of(n_buckets)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows(grp, held):
+            (g, gn), (t, tn) = held
+            parts = []
+            for keys, n, at in ((g, gn, place[(g >> np.uint64(8)).astype(np.int64) & 65535]), (t, tn, (t % np.uint64(n_buckets)).astype(np.uint16))):
+                order = np.argsort(at, kind="stable")
+                parts.append((keys[order], n[order].astype(np.uint32), np.searchsorted(at[order], np.arange(n_buckets + 1))))
+            (g, gn, gc), (t, tn, tc) = parts
+            out = [(b, grp, pack7(g[gc[b] : gc[b + 1]]), gn[gc[b] : gc[b + 1]].tobytes(), t[tc[b] : tc[b + 1]].tobytes(), tn[tc[b] : tc[b + 1]].tobytes()) for b in range(n_buckets) if gc[b] < gc[b + 1] or tc[b] < tc[b + 1]]
+            return pd.DataFrame(out, columns=["bucket", "grp", "grams", "gram_n", "words", "word_n"])
+
+        grp, held = None, [none, none]
         for b in batches:
-            learnt = b["train"].to_numpy(float)
-            for part in chunks(range(len(b)), b["text"]):
-                key, of = grams([t for _, t in part])
-                key, back = np.unique(key, return_inverse=True)
-                n = np.bincount(back, learnt[[i for i, _ in part]][of], minlength=len(key)).astype(np.int64)
-                held, n_held = summed(np.concatenate([held, key]), np.concatenate([n_held, n]))
-                if len(held) >= FLUSH:
-                    yield frame(held, n_held)
-                    held, n_held = held[:0], n_held[:0]
-        if len(held):
-            yield frame(held, n_held)
-
-    train = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
-    return docs.select("text", train.alias("train")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def top_of(dealt: DataFrame):
-    """Depth 1 as a level of nodes(), and depth 0 as arrays of 256 (a, b, weight); 65,280 rows at most are collected."""
+            groups = b["key"].to_numpy() // GROUP
+            for now in sorted(set(groups.tolist())):
+                if now != grp:
+                    if grp is not None:
+                        yield rows(grp, held)
+                    grp, held = now, [none, none]
+                mine = b[groups == now]
+                for learn in (True, False):
+                    for _, raws in chunks([raw_bytes(t) for t in mine["text"][mine["train"] == learn]], 1 << 20):
+                        for k, keys in enumerate((grams(raws)[0], words(raws)[0])):
+                            keys, n = counted(keys)
+                            held[k] = merged(np.concatenate([held[k][0], keys]), np.concatenate([held[k][1], n if learn else np.zeros(len(n), np.int64)]))[:2]
+                        if len(held[0][0]) >= FLUSH:
+                            yield rows(grp, held)
+                            held = [none, none]
+        if grp is not None:
+            yield rows(grp, held)
+
+    return run, "bucket int, grp long, grams binary, gram_n binary, words binary, word_n binary"
+
+
+def together(bucket, what: str, unpack):
     import numpy as np
 
-    def run(pdf):
-        import pandas as pd
+    parts = [unpack(x) for x in bucket[what]]
+    name = "gram_n" if what == "grams" else "word_n"
+    n = np.concatenate([np.frombuffer(x, np.uint32) for x in bucket[name]]).astype(float)
+    keys, sums, back = merged(np.concatenate(parts), n)
+    return keys, sums, np.split(back, np.cumsum([len(p) for p in parts])[:-1]), parts
+
+
+def as_words(raw: bytes):
+    import numpy as np
+
+    return np.frombuffer(raw, np.uint64)
+
 
-        _, (key, a, b, below) = nodes(pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy(), 1)
-        return pd.DataFrame({"node": key.astype(np.int64), "a": a, "b": b, "below": below})
-
-    parts = dealt.filter("n > 0").groupBy("bucket").applyInPandas(run, "node long, a double, b double, below double")
-    got = parts.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").toArrow()
-    node, a, b, below = (got[c].to_numpy() for c in got.column_names)
-    root = np.zeros(256), np.zeros(256), np.ones(256)
-    if not len(node):
-        return None, root
-    own = kt(a, b)
-    total = math.log(0.5) + np.logaddexp(own, below)
-    top = node.astype(np.uint64), a, b, np.exp(math.log(0.5) + own - total)
-    key, a, b, below = summed(top[0] & np.uint64(255), a, b, total)
-    own, at = kt(a, b), key.astype(np.int64)
-    root[0][at], root[1][at], root[2][at] = a, b, np.exp(own - np.logaddexp(own, below))
-    return top, root
-
-
-def gram_values(counted: DataFrame, n_grams: int, bucket: int = BUCKET) -> DataFrame:
-    """gram, value: the log10 probability of each gram's byte in its context."""
+def tops(bucket):
+    """One bucket's parts of the nodes of depth 1; in row -1 its numbers of training words and of distinct ones."""
     import numpy as np
+    import pandas as pd
 
-    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(65535))
-    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64(pair), F.lit(max(1, -(-n_grams // bucket)))))
-    top, root = top_of(dealt)
+    keys, n, _, _ = together(bucket, "grams", unpack7)
+    _, c, _, _ = together(bucket, "words", as_words)
+    node, a, b, below = top_parts(keys[n > 0], n[n > 0]) if (n > 0).any() else [np.zeros(0)] * 4
+    return pd.DataFrame({"node": np.append(node.astype(np.int64), -1), "a": np.append(a, c.sum()), "b": np.append(b, (c > 0).sum()), "below": np.append(below, 0.0)})
 
-    def run(pdf):
+
+def answer(top):
+    def run(bucket):
+        import numpy as np
         import pandas as pd
 
-        gram, n = pdf["gram"].to_numpy().astype(np.uint64), pdf["n"].to_numpy()
-        levels = [top] if top else []
-        if (n > 0).any():
-            levels += nodes(gram[n > 0], n[n > 0], 1)[0]
-        return pd.DataFrame({"gram": gram.astype(np.int64), "value": log10_p(gram, levels, root)})
+        keys, n, at, parts = together(bucket, "grams", unpack7)
+        value = values(keys, n, top).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
+        _, c, c_at, words = together(bucket, "words", as_words)
+        rows = [(grp, pack7(g), value[i].tobytes(), w.tobytes(), c[j].astype(np.int64).tobytes()) for grp, g, i, w, j in zip(bucket["grp"], parts, at, words, c_at)]
+        return pd.DataFrame(rows, columns=["grp", "grams", "value", "words", "c"])
 
-    return dealt.groupBy("bucket").applyInPandas(run, "gram long, value double")
+    return run
 
 
-def add_scores(docs: DataFrame, counted: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs (key, doc_id, text) with score, the log10 probability of text. counted has every gram of docs."""
+def lookup(batches: Iterator) -> Iterator:
+    """Scores of texts; in each partition a group's replies come before its texts."""
     import numpy as np
-
-    spark, n_grams = docs.sparkSession, counted.count()
-    values = materialize(gram_values(counted, n_grams), "values")
-    blocks = -(-n_grams // block) | 1  # odd, so that the rest of the division depends on all bytes
-    rest, schema = docs.drop("text").schema, docs.drop("text").withColumn("score", F.lit(0.0)).schema
-    done = []
-    for k in range(blocks):
-        few = values.filter(F.pmod("gram", F.lit(blocks)) == k).toArrow()  # about block rows
-        gram, value = few["gram"].to_numpy().astype(np.uint64), few["value"].to_numpy()
-        order = np.argsort(gram)
-        shared = spark.sparkContext.broadcast((gram[order], value[order]))
-        del few, gram, value, order
-
-        def run(batches: Iterator, shared=shared, k=k) -> Iterator:
-            known, values = shared.value
-            for b in batches:
-                got = []
-                for some in chunks(range(len(b)), b.pop("text")):
-                    key, of = grams([t for _, t in some])
-                    use = key % np.uint64(blocks) == k
-                    key, back = np.unique(key[use], return_inverse=True)
-                    at = np.searchsorted(known, key)
-                    if len(key) and (at[-1] == len(known) or (known[at] != key).any()):
-                        raise ValueError("a gram of the documents was not counted")
-                    got.append(np.bincount(of[use], values[at][back], minlength=len(some)))
-                b["score"] = np.concatenate(got) if got else 0.0
-                yield b
-
-        # each block's pass ends before the next, so a worker holds one block
-        done.append(materialize(docs.mapInPandas(run, schema), "scores"))
-        shared.unpersist()
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out if blocks == 1 else out.groupBy(*rest.names).agg(F.sum("score").alias("score"))
-
-
-def score_documents(docs: DataFrame, training) -> DataFrame:
+    import pandas as pd
+
+    words, grp, replies, known = Words(), None, [], None
+    for b in batches:
+        groups, is_text = b["grp"].to_numpy(), b["is_text"].to_numpy(bool)
+        cuts = np.flatnonzero((groups[1:] != groups[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+        for part in np.split(np.arange(len(b)), cuts):
+            if not len(part):
+                continue
+            some = b.iloc[part]
+            if groups[part[0]] != grp:
+                grp, replies, known = groups[part[0]], [], None
+            if not is_text[part[0]]:
+                replies += list(zip(some["grams"], some["value"], some["words"], some["c"]))
+                continue
+            if known is None:
+                keys, value = (np.concatenate(c) for c in zip(*[(unpack7(r[0]), np.frombuffer(r[1], np.float32)) for r in replies]))
+                order = np.argsort(keys)
+                keys, value = keys[order], value[order].astype(float)
+                w, c = (np.concatenate(x) for x in zip(*[(as_words(r[2]), np.frombuffer(r[3], np.int64)) for r in replies]))
+                w, first = np.unique(w, return_index=True)
+                counts = SlotTable(12)
+                counts.add(w, c[first])
+                known, replies = (keys, value, counts), []
+            keys, value, counts = known
+            raws = [raw_bytes(t) for t in some["text"]]
+            score, base, n, hits = (np.zeros(len(raws)) for _ in range(4))
+            for at, few in chunks(raws):
+                mine, sizes = grams(few)
+                mine = np.sort(mine << np.uint64(8) | np.repeat(np.arange(len(few), dtype=np.uint64), sizes))
+                key = mine >> np.uint64(8)
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                j = np.searchsorted(keys, key[new])
+                if j[-1] == len(keys) or (keys[j] != key[new]).any():
+                    raise ValueError("a gram of the documents was not counted")
+                score[at : at + len(few)] = np.bincount((mine & np.uint64(255)).astype(np.int64), value[j][np.cumsum(new) - 1], minlength=len(few))
+                token, of = words(few)
+                c = counts.find(token)
+                if (c < 0).any():
+                    raise ValueError("a word of the documents was not counted")
+                for out, what in ((base, np.log10(c + 0.1)), (n, None), (hits, c > 0)):
+                    out[at : at + len(few)] = np.bincount(of, what, minlength=len(few))
+            yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "train": some["train"].to_numpy(bool), "n_tokens": n.astype(np.int64), "n_known": hits.astype(np.int64), "base": base, "score": score})
+
+
+def score_documents(docs: DataFrame, training, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
     training: a Column that tells which rows are learnt from (null counts as false). Defined results: null and empty
     texts are the end alone; repeated rows each are scored and each count in training; with nothing to
-    train on every bit has one half; further columns are ignored."""
-    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"))
-    counted = materialize(count_grams(rows, F.col("train")), "grams")
-
-    def words(batches: Iterator) -> Iterator:
-        import pandas as pd
-        from collections import Counter
-        from xxhash import xxh3_64_intdigest
+    train on every bit has one half; a null doc_id is carried; an empty table gives no rows; further columns are ignored.
+    Values of grams are kept in single precision."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("key"))
+    rows = materialize(rows, "rows")  # later scans split the rows elsewhere: the key is the written one
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    run, schema = send(min(60_000, 1 + size // bucket_bytes))
+    sent = materialize(rows.select("key", "text", "train").mapInPandas(run, schema), "sent")
+    parts = sent.groupBy("bucket").applyInPandas(tops, "node long, a double, b double, below double")
+    got = parts.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").collect()
+    import numpy as np
 
-        for b in batches:
-            for at in range(0, len(b), 500):
-                s = b.iloc[at : at + 500]
-                pairs = [Counter([*word_bytes(t), b""]) for t in s.pop("text")]  # no word is empty: b"" is the end
-                yield s.assign(tokens=[[xxh3_64_intdigest(w) - (1 << 63) for w in c] for c in pairs], times=[list(c.values()) for c in pairs])
-
-    keyed = rows.withColumn("key", F.monotonically_increasing_id())
-    tokens = materialize(keyed.mapInPandas(words, "doc_id long, train boolean, key long, tokens array<long>, times array<long>"), "tokens")
-    each = tokens.select("key", "train", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("key", "train", F.col("t.tokens").alias("token"), F.col("t.times").alias("times"))
-    vocab = each.filter("train").groupBy("token").agg(F.sum("times").alias("c"))
-    vocab = materialize(vocab, "vocab")
-    n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    c = F.coalesce("c", F.lit(0))
-    base = each.join(vocab, "token", "left").groupBy("key").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * F.log10((c + 0.1) / (n + 0.1 * (v + 1)))).alias("base_score"))
-    # the key depends on the scan alone; both tables are written from one scan each, so they are joined by it
-    scores = add_scores(keyed.select("key", "doc_id", "text", "train"), counted)
-    return scores.join(base, "key").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    n, v = (int(got[0].a), int(got[0].b)) if got else (0, 0)
+    node, a, b, below = (np.array(c) for c in zip(*got[1:])) if got[1:] else [np.zeros(0, np.int64)] * 4
+    top = spark.sparkContext.broadcast(top_of(node, a, b, below))  # 65,280 nodes at most
+
+    def reply(bucket):
+        return answer(top.value)(bucket)
+
+    told = materialize(sent.groupBy("bucket").applyInPandas(reply, "grp long, grams binary, value binary, words binary, c binary"), "told")
+    discard(sent)
+    no = lambda kind: F.lit(None).cast(kind)
+    first = told.select("grp", F.lit(False).alias("is_text"), no("long").alias("doc_id"), no("string").alias("text"), no("boolean").alias("train"), "grams", "value", "words", "c")
+    texts = rows.select(F.floor(F.col("key") / GROUP).cast("long").alias("grp"), F.lit(True).alias("is_text"), "doc_id", "text", "train", *[no("binary").alias(x) for x in ("grams", "value", "words", "c")])
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = first.union(texts).repartition(n_parts, "grp").sortWithinPartitions("grp", "is_text")
+    scores = dealt.mapInPandas(lookup, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op5_context_tree(spark, sf_dir: str) -> DataFrame:

@@ -161,28 +161,58 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontamination.contaminated(d, b.limit(0)).count() == 0
 
 
-def test_context_tree_is_a_distribution_and_learns(docs):
-    texts = [b"abracadabra " * 20, b"the cat sat on the mat " * 10]
-    gram, n = np.unique(context_tree.grams(texts)[0], return_counts=True)
-    levels, (key, a, b, below) = context_tree.nodes(gram, n)
-    root = [np.zeros(256), np.zeros(256), np.ones(256)]
-    for k, x, y, z in zip(key.astype(int), a, b, below):
-        own = float(context_tree.kt(np.array([x]), np.array([y]))[0])
-        root[0][k], root[1][k], root[2][k] = x, y, math.exp(own - np.logaddexp(own, z))
-    for ctx in (b"abra", b"zzzz", b"the "):
-        keys = np.array([int.from_bytes(ctx.rjust(context_tree.DEPTH, b"q")[-context_tree.DEPTH:] + bytes([c]), "big") for c in range(256)], np.uint64)
-        p = 10 ** context_tree.log10_p(keys, levels, root)
-        assert abs(p.sum() - 1) < 1e-9
-    assert p[ord("c")] > 0.2
-
-
-def test_context_tree_blocks_agree(docs, texts):
-    counted = context_tree.count_grams(docs)
-    keyed = docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    one = {r.key: r.score for r in context_tree.add_scores(keyed, counted).collect()}
-    many = {r.key: r.score for r in context_tree.add_scores(keyed, counted, block=500).collect()}
-    assert one.keys() == {i for i, _ in texts}
-    assert all(abs(one[k] - many[k]) < 1e-6 * max(1, abs(one[k])) for k in one)
+def plain_tree(train, text, depth):
+    """log10 probability of text by a context tree in dictionaries."""
+    pad = [255] * depth
+    places = lambda raw: [(tuple(x[i : i + depth]), x[i + depth]) for x in [pad + list(raw) + [255]] for i in range(len(x) - depth)]
+    count = {}
+    for raw in train:
+        for ctx, byte in places(raw):
+            for level in range(8):
+                for d in range(depth + 1):
+                    cell = count.setdefault((d, ctx[depth - d :], level, byte >> (8 - level)), [0, 0])
+                    cell[byte >> (7 - level) & 1] += 1
+    lkt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    below = {}
+    weight = {}
+    for d in range(depth, -1, -1):
+        for key, (a, b) in count.items():
+            if key[0] == d:
+                own = lkt(a, b)
+                total = own if d == depth else math.log(0.5) + np.logaddexp(own, below.get(key, 0.0))
+                weight[key] = 1.0 if d == depth else math.exp(math.log(0.5) + own - total)
+                if d:
+                    up = (d - 1, key[1][1:], *key[2:])
+                    below[up] = below.get(up, 0.0) + total
+    out = 0.0
+    for ctx, byte in places(text):
+        for level in range(8):
+            p = None
+            for d in range(depth, -1, -1):
+                key = (d, ctx[depth - d :], level, byte >> (8 - level))
+                if key in count:
+                    est = (count[key][byte >> (7 - level) & 1] + 0.5) / (sum(count[key]) + 1)
+                    p = est if p is None else weight[key] * est + (1 - weight[key]) * p
+            out += math.log10(0.5 if p is None else p)
+    return out
+
+
+def test_context_tree_equals_a_plain_tree(spark, docs, texts):
+    for d, rows, buckets in ((docs, texts, 500), (spark.createDataFrame([(1, "abc"), (2, None), (1, "abc")], "doc_id long, text string"), [(1, "abc"), (2, None), (1, "abc")], 1 << 20)):
+        rows = [(i, (t or "").encode().lower()) for i, t in rows if len(t or "") < 5000]
+        train = [t for i, t in rows if i % 3 != 0]
+        few = d.filter("text IS NULL OR length(text) < 5000")
+        got = {r.doc_id: r.score for r in context_tree.score_documents(few, F.col("doc_id") % 3 != 0, buckets).collect()}
+        for i, t in rows[::7]:
+            want = plain_tree(train, t, context_tree.DEPTH)
+            assert abs(got[i] - want) < 1e-5 * max(1, abs(want)), (i, got[i], want)
+
+
+def test_context_tree_without_training(docs, texts):
+    got = {r.doc_id: r for r in context_tree.score_documents(docs, F.lit(False)).collect()}
+    for i, t in texts:
+        n = len((t or "").encode()) + 1
+        assert abs(got[i].score + 8 * n * math.log10(2)) < 1e-4 * n and got[i].train_tokens == 0 and got[i].n_known == 0
 
 
 def test_context_tree_learns_beyond_four_bytes(spark):
