@@ -27,8 +27,45 @@ def test_near_duplicates_equal_brute_force(docs, texts):
             if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
-    assert got == {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+    for chunk in (minhash.CHUNK, 2):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, chunk).collect()}
+        assert got == {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+
+
+def test_strays_of_a_large_bucket_are_finished(spark):
+    """Texts near one base but often not near each other: many strays in the base's buckets."""
+    r = random.Random(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(150):
+        v = list(base)
+        for p in r.sample(range(60), r.randint(0, 5)):
+            v[p] = f"x{r.randrange(4)}"
+        rows.append((i, " ".join(v)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    root = dict.fromkeys(sets)
+    root = {i: i for i in root}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert len({top(i) for i in sets}) > 10
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (2000, 7):
+        assert {x.doc_id: x.component_id for x in minhash.near_duplicates(d, chunk).collect()} == {i: top(i) for i in sets}
+
+
+def test_one_id_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    d = spark.createDataFrame([(0, text), (1, text + " end"), (1, "something else that is not near to it"), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(d).collect())
+    assert got == [(False, 0, 36, 0, True), (False, 1, 4, 1, True), (False, 1, 37, 0, False), (True, None, 36, None, True)]
 
 
 def test_components_of_a_chain_and_a_star(spark):
