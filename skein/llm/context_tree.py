@@ -7,12 +7,12 @@ path. Where a longer context was never seen, the estimate of the longest one see
 
 Texts are lower-cased (A-Z), preceded by DEPTH bytes 255 and closed by one. What is gathered from the corpus grows with it
 and stays distributed:
-1. Rows are written once with a key; GROUP rows in a row form a group. Each group sends its distinct grams (context and
+1. Rows are dealt by a hash into groups of about GROUP_BYTES of text. Each group sends its distinct grams (context and
    byte) and words with their counts, sorted and packed into arrays, to buckets: grams by the last two context bytes, so
    that a bucket's subtrees below depth 1 are whole, words by hash.
 2. Buckets merge the arrays and sum up what belongs to depth 1 and 0; those 65,280 nodes at most are collected.
 3. Each bucket computes the value of each of its grams once and sends it back to the groups that asked.
-4. A group's texts are read behind its replies in one sorted partition, batch by batch.
+4. A group's texts are read behind its replies in one partition, batch by batch.
 
 Rows between groups and buckets number groups times buckets at most; no row stands for a place of a text.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import RunHashes, SlotTable, discard, materialize, table
 
 DEPTH, END = 6, 255
-#: Rows of a group, bytes of text for each bucket, bytes of text taken at once, grams held by a group before it sends them.
-GROUP, BUCKET_BYTES, CHUNK, FLUSH = 1 << 14, 32 << 20, 4 << 20, 4_000_000
+#: Bytes of text of a group and for a bucket, bytes taken at once, grams held by a group before it sends them.
+GROUP_BYTES, BUCKET_BYTES, CHUNK, FLUSH = 64 << 20, 32 << 20, 1 << 20, 4_000_000
 #: Key of the word that ends each text.
 END_WORD = 2
 
@@ -239,6 +239,24 @@ def values(keys, n, top):
     return logs
 
 
+class Counts:
+    """Sorted keys and their counts, added to in place."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+
+    def add(self, keys, n) -> None:
+        """Sorted distinct keys with their counts."""
+        import numpy as np
+
+        at = np.searchsorted(self.keys, keys)
+        held = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[at[held]] += n[held].astype(np.uint32)
+        self.keys, self.n = np.insert(self.keys, at[~held], keys[~held]), np.insert(self.n, at[~held], n[~held].astype(np.uint32))
+
+
 def pack7(keys) -> bytes:
     import numpy as np
 
@@ -268,39 +286,37 @@ def send(n_buckets: int):
         import pandas as pd
 
         words, place = Words(), bucket_of(n_buckets)
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def rows(grp, held):
-            (g, gn), (t, tn) = held
             parts = []
-            for keys, n, at in ((g, gn, place[(g >> np.uint64(8)).astype(np.int64) & 65535]), (t, tn, (t % np.uint64(n_buckets)).astype(np.uint16))):
+            for counts, at in ((held[0], place[(held[0].keys >> np.uint64(8)).astype(np.int64) & 65535]), (held[1], (held[1].keys % np.uint64(n_buckets)).astype(np.uint16))):
                 order = np.argsort(at, kind="stable")
-                parts.append((keys[order], n[order].astype(np.uint32), np.searchsorted(at[order], np.arange(n_buckets + 1))))
-            (g, gn, gc), (t, tn, tc) = parts
+                parts += [counts.keys[order], counts.n[order], np.searchsorted(at[order], np.arange(n_buckets + 1))]
+            g, gn, gc, t, tn, tc = parts
             out = [(b, grp, pack7(g[gc[b] : gc[b + 1]]), gn[gc[b] : gc[b + 1]].tobytes(), t[tc[b] : tc[b + 1]].tobytes(), tn[tc[b] : tc[b + 1]].tobytes()) for b in range(n_buckets) if gc[b] < gc[b + 1] or tc[b] < tc[b + 1]]
             return pd.DataFrame(out, columns=["bucket", "grp", "grams", "gram_n", "words", "word_n"])
 
-        grp, held = None, [none, none]
+        grp, held = None, (Counts(), Counts())
         for b in batches:
-            groups = b["key"].to_numpy() // GROUP
+            groups, learnt = b["grp"].to_numpy(), b["train"].to_numpy(bool)
             for now in sorted(set(groups.tolist())):
                 if now != grp:
                     if grp is not None:
                         yield rows(grp, held)
-                    grp, held = now, [none, none]
-                mine = b[groups == now]
+                    grp, held = now, (Counts(), Counts())
                 for learn in (True, False):
-                    for _, raws in chunks([raw_bytes(t) for t in mine["text"][mine["train"] == learn]], 1 << 20):
-                        for k, keys in enumerate((grams(raws)[0], words(raws)[0])):
+                    raws = [raw_bytes(t) for t in b["text"][(groups == now) & (learnt == learn)]]
+                    for _, few in chunks(raws, 1 << 20):
+                        for counts, keys in zip(held, (grams(few)[0], words(few)[0])):
                             keys, n = counted(keys)
-                            held[k] = merged(np.concatenate([held[k][0], keys]), np.concatenate([held[k][1], n if learn else np.zeros(len(n), np.int64)]))[:2]
-                        if len(held[0][0]) >= FLUSH:
+                            counts.add(keys, n if learn else np.zeros_like(n))
+                        if len(held[0].keys) >= FLUSH:
                             yield rows(grp, held)
-                            held = [none, none]
+                            held = (Counts(), Counts())
         if grp is not None:
             yield rows(grp, held)
 
-    return run, "bucket int, grp long, grams binary, gram_n binary, words binary, word_n binary"
+    return run, "bucket int, grp int, grams binary, gram_n binary, words binary, word_n binary"
 
 
 def together(bucket, what: str, unpack):
@@ -365,7 +381,7 @@ def lookup(batches: Iterator) -> Iterator:
             if known is None:
                 keys, value = (np.concatenate(c) for c in zip(*[(unpack7(r[0]), np.frombuffer(r[1], np.float32)) for r in replies]))
                 order = np.argsort(keys)
-                keys, value = keys[order], value[order].astype(float)
+                keys, value = keys[order], value[order]
                 w, c = (np.concatenate(x) for x in zip(*[(as_words(r[2]), np.frombuffer(r[3], np.int64)) for r in replies]))
                 w, first = np.unique(w, return_index=True)
                 counts = SlotTable(12)
@@ -382,7 +398,7 @@ def lookup(batches: Iterator) -> Iterator:
                 j = np.searchsorted(keys, key[new])
                 if j[-1] == len(keys) or (keys[j] != key[new]).any():
                     raise ValueError("a gram of the documents was not counted")
-                score[at : at + len(few)] = np.bincount((mine & np.uint64(255)).astype(np.int64), value[j][np.cumsum(new) - 1], minlength=len(few))
+                score[at : at + len(few)] = np.bincount((mine & np.uint64(255)).astype(np.int64), value[j].astype(float)[np.cumsum(new) - 1], minlength=len(few))
                 token, of = words(few)
                 c = counts.find(token)
                 if (c < 0).any():
@@ -400,13 +416,15 @@ def score_documents(docs: DataFrame, training, bucket_bytes: int = BUCKET_BYTES)
     train on every bit has one half; a null doc_id is carried; an empty table gives no rows; further columns are ignored.
     Values of grams are kept in single precision."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"), F.monotonically_increasing_id().alias("key"))
-    rows = materialize(rows, "rows")  # later scans split the rows elsewhere: the key is the written one
+    rows = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(spark.sparkContext.defaultParallelism, size // GROUP_BYTES)
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     run, schema = send(min(60_000, 1 + size // bucket_bytes))
-    sent = materialize(rows.select("key", "text", "train").mapInPandas(run, schema), "sent")
+    sent = materialize(rows.drop("doc_id").repartitionById(groups, "grp").mapInPandas(run, schema), "sent")
     parts = sent.groupBy("bucket").applyInPandas(tops, "node long, a double, b double, below double")
-    got = parts.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).orderBy("node").collect()
+    sums = materialize(parts.groupBy("node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")), "tops")
+    got = sums.orderBy("node").collect()
     import numpy as np
 
     n, v = (int(got[0].a), int(got[0].b)) if got else (0, 0)
@@ -416,13 +434,12 @@ def score_documents(docs: DataFrame, training, bucket_bytes: int = BUCKET_BYTES)
     def reply(bucket):
         return answer(top.value)(bucket)
 
-    told = materialize(sent.groupBy("bucket").applyInPandas(reply, "grp long, grams binary, value binary, words binary, c binary"), "told")
-    discard(sent)
+    told = materialize(sent.groupBy("bucket").applyInPandas(reply, "grp int, grams binary, value binary, words binary, c binary"), "told")
+    discard(sent, sums)
     no = lambda kind: F.lit(None).cast(kind)
     first = told.select("grp", F.lit(False).alias("is_text"), no("long").alias("doc_id"), no("string").alias("text"), no("boolean").alias("train"), "grams", "value", "words", "c")
-    texts = rows.select(F.floor(F.col("key") / GROUP).cast("long").alias("grp"), F.lit(True).alias("is_text"), "doc_id", "text", "train", *[no("binary").alias(x) for x in ("grams", "value", "words", "c")])
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = first.union(texts).repartition(n_parts, "grp").sortWithinPartitions("grp", "is_text")
+    texts = rows.select("grp", F.lit(True).alias("is_text"), "doc_id", "text", "train", *[no("binary").alias(x) for x in ("grams", "value", "words", "c")])
+    dealt = first.union(texts).repartitionById(groups, "grp").sortWithinPartitions("grp", "is_text")
     scores = dealt.mapInPandas(lookup, "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
     base = F.col("base") - F.col("n_tokens") * math.log10(n + 0.1 * (v + 1))
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
