@@ -6,9 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9 longer than two characters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", -1), lambda t: F.char_length(t) > 2)
+def word_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores of any script and length."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+tokens = word_tokens
+
+
+def sentence_count(text: Column) -> Column:
+    """Runs of sentence signs before white space or the end."""
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[.!?]+(\s|$)"), F.lit(0))).cast("long")
 
 
 def word_count(text: Column) -> Column:

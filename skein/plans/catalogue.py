@@ -64,7 +64,8 @@ def chat_word_stats(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("n_turns"), F.sum(T.word_count(F.col("text"))).alias("n_words"))
 
 
-TOKENS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: length(t) > 2)"
+WORD_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
+TOKENS = WORD_TOKENS
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda t: t <> '')"
 KNN = """q AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
 pairs AS (SELECT query_id, vec_id, round(list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))), 6) AS similarity FROM embeddings, q),

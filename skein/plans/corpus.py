@@ -11,7 +11,6 @@ from skein.sources.files import TYPES, detect_type
 
 #: Phrases that open a new topic, headings, small talk, question forms.
 TOPIC_PHRASES = ["However,", "Moreover,", "Furthermore,", "In contrast,", "On the other hand,", "Additionally,", "Nevertheless,", "Consequently,", "In conclusion,", "To summarize,"]
-HEADINGS = [r"^[A-Z][A-Z\s]+:?\s*$", r"^\d+\.\s+[A-Z].*$", r"^[IVX]+\.\s+[A-Z].*$", r"^#{1,3}\s+.*$"]
 SMALL_TALK = ["hi", "hello", "hey", "yo", "sup", "ok", "thanks", "thank you", "bye", "goodbye", "hola", "hiya"]
 QUESTIONS = [("How do I ", "Instructions for "), ("How to ", "Procedure for "), ("What is ", "Information about "), ("What are ", "Details on "), ("When should ", "Timing for "), ("Why ", "Reason for "), ("Can I ", "Possibility of "), ("Where ", "Location of ")]
 PATHS = ["a/report.PDF", "notes.md", "x.tar.gz", "main.rs", "table.csv", "deck.pptx", "photo.JPEG", "no_extension", "dir.d/file", "page.html"]
@@ -19,23 +18,12 @@ ASKED = ["How do I open it?", "What is rain?", "Why not", "where is it?", "Can I
 LINKS = ["hf://own/repo/dir/file.bin", "hf://own/repo:v2/file.bin", "http://own/repo/f", "hf://own"]
 
 
-def section_lines(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line")).withColumn("line", F.trim("line"))
-    return lines.filter(F.array_contains(F.array(*[F.col("line").rlike(h) for h in HEADINGS]), True)).groupBy("doc_id").agg(F.count("*").alias("n_headings"), F.min("line").alias("first_line"))
-
-
 def topic_boundaries(spark, d):
     t = F.coalesce("text", F.lit(""))
     n = sum(((F.char_length(t) - F.char_length(F.replace(t, F.lit(p), F.lit("")))) / len(p) for p in TOPIC_PHRASES), F.lit(0))
     return table(spark, d, "documents").select("doc_id", n.cast("long").alias("n_boundaries"))
 
 
-def keywords_topn(spark, d):
-    n = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
-    return n.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("doc_id", "term", "n", F.col("rank").cast("long"))
-
-
 def bm25_df(spark, d):
     return table(spark, d, "documents").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
@@ -137,14 +125,13 @@ def quoted(xs):
 
 
 LOWER_WORDS = WORDS.replace("coalesce(text, '')", "lower(coalesce(text, ''))")
-HEADING_SQL = " OR ".join(f"regexp_matches(line, '{h}')" for h in HEADINGS)
 NAMED = " ".join(f"WHEN e IN ({', '.join(repr(x) for x in names)}) THEN '{kind}'" for kind, names in TYPES.items())
 PARTS = ", ".join(f"regexp_extract(link, '^hf://([^/]+)/([^/:]+)(?::([^/]+))?/(.+)$', {i}) AS {n}" for i, n in enumerate(["owner", "repo", "revision", "path"], 1))
 
+TOPICS_SQL = "(" + " + ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) // {len(p)}" for p in TOPIC_PHRASES) + ")"
+
 QUERIES = {
-    "section_lines": (section_lines, f"WITH l AS (SELECT doc_id, trim(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS line FROM documents) SELECT doc_id, count(*) AS n_headings, min(line) AS first_line FROM l WHERE {HEADING_SQL} GROUP BY doc_id"),
     "topic_boundaries": (topic_boundaries, "SELECT doc_id, (" + " + ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) // {len(p)}" for p in TOPIC_PHRASES) + ")::BIGINT AS n_boundaries FROM documents"),
-    "keywords_topn": (keywords_topn, f"WITH n AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM n) SELECT doc_id, term, n, rank FROM r WHERE rank <= 5"),
     "bm25_df": (bm25_df, f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term"),
     "chunk_density": (chunk_density, f"SELECT doc_id, round(len(list_distinct({LOWER_WORDS}))::DOUBLE / greatest(len({LOWER_WORDS}), 1), 6) AS density FROM documents"),
     "feature_rates": (feature_rates, f"SELECT source, count(*) AS n, round(avg(coalesce(regexp_matches(text, '[0-9]'), false)::INT), 6) AS numeric, round(avg(coalesce(regexp_matches(text, '(^|\\n)[ ]*([-*]|[0-9]+\\.) '), false)::INT), 6) AS lists, round(avg(len({WORDS})), 6) AS avg_words FROM documents GROUP BY source"),

@@ -1,6 +1,6 @@
 """All registered queries: name -> (query, SQL or None)."""
 
-from skein.plans import corpus, ranked
+from skein.plans import chunks, corpus, ranked
 from skein.plans.catalogue import CATALOGUE
 
-REGISTRY = CATALOGUE | ranked.QUERIES | corpus.QUERIES
+REGISTRY = CATALOGUE | ranked.QUERIES | corpus.QUERIES | chunks.QUERIES
