@@ -1,56 +1,173 @@
-"""Exact nearest neighbours, BM25, rank fusion and fixed windows."""
+"""Exact nearest neighbours, BM25 over a corpus or over candidates, rank fusion and fixed windows."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import tokens
-from skein.functions.vectors import cosine, norm
+from skein.functions.text import word_tokens
 
-#: A stated query set is broadcast up to so many rows, and taken in blocks of that many beyond.
-QUERY_BLOCK = 1000
+#: Queries taken at once in a task, and bytes of query vectors broadcast for one scan; more take further scans.
+QUERY_BLOCK, BROADCAST_BYTES = 1000, 64 << 20
+#: Fixed values of BM25, of the fusion's constant and of its weights.
+K1, B, FUSION, VECTOR_WEIGHT, KEYWORD_WEIGHT = 1.5, 0.75, 60, 0.7, 0.3
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank: each query's k most similar vectors, ties by vec_id.
 
-    The rank filter becomes a group limit below the shuffle, so each task sends k rows for each query, not every pair."""
-    v = vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("n"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    at = Window.orderBy("query_id")
-    n = queries.count()
-    blocks = [q] if n <= QUERY_BLOCK else [q.withColumn("_b", F.floor((F.row_number().over(at) - 1) / QUERY_BLOCK)).filter(F.col("_b") == b).drop("_b") for b in range(-(-n // QUERY_BLOCK))]
-    out = None
-    for block in blocks:
-        pairs = v.join(F.broadcast(block), F.lit(True)).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("n"), F.col("q"), F.col("qn")), 6).alias("similarity"))
-        out = pairs if out is None else out.union(pairs)
-    if floor is not None:
-        out = out.filter(F.col("similarity") >= floor)
+    The queries are a stated set; each batch of vectors meets a block of them in one matrix product and keeps k for each
+    query, so what is shuffled is k rows a batch and query. Cosine is 0 for zero vectors and those of another size."""
+    spark = vectors.sparkSession
+    asked = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toPandas()
+    dims = sorted({len(e) for e in asked["embedding"]})
+    step = max(1, BROADCAST_BYTES // (8 * max([1, *dims])))
+    schema, out = "query_id long, vec_id long, similarity double", None
+    for dim in dims:
+        mine = asked[asked["embedding"].map(len) == dim]
+        for at in range(0, len(mine), step):
+            some = mine.iloc[at : at + step]
+            shared = spark.sparkContext.broadcast((some["query_id"].to_list(), [list(e) for e in some["embedding"]]))
+            found = vectors.select("vec_id", "embedding").mapInPandas(nearest(shared, dim, k, floor), schema)
+            out = found if out is None else out.union(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)  # Spark limits each group before the shuffle
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank over the whole corpus; only terms of the queries are counted and shuffled."""
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    sizes = d.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).first()
-    tf = d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(sizes["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(sizes["avg"] or 1))))
-    scored = tf.join(df, "term").join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def nearest(shared, dim: int, k: int, floor: float | None):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        ids, q = np.array(shared.value[0], np.int64), np.array(shared.value[1], float).reshape(-1, dim)
+        unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, np.inf)
+        q = unit(q)
+        for b in batches:
+            b = b[b["embedding"].notna()]
+            if not len(b):
+                continue
+            order = np.argsort(b["vec_id"].to_numpy(), kind="stable")
+            vec, rows = b["vec_id"].to_numpy()[order], b["embedding"].to_numpy()[order]
+            fits = np.array([len(e) == dim for e in rows])
+            x = np.zeros((len(rows), dim))
+            if fits.any():
+                x[fits] = np.stack(rows[fits]).astype(float)
+            x = unit(x)
+            for at in range(0, len(q), QUERY_BLOCK):
+                sim = np.round(q[at : at + QUERY_BLOCK] @ x.T, 6) + 0.0
+                top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                value = np.take_along_axis(sim, top, axis=1)
+                out = pd.DataFrame({"query_id": np.repeat(ids[at : at + QUERY_BLOCK], top.shape[1]), "vec_id": vec[top].ravel(), "similarity": value.ravel()})
+                yield out if floor is None else out[out["similarity"] >= floor]
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, doc_id, score, rank over the whole corpus. Texts are tokenised once: each keeps its length and the counts of
+    the queries' terms, from which document frequencies come; then each batch scores its texts and keeps k a query."""
+    spark = docs.sparkSession
+    terms = queries.select("query_id", F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").count().collect()
+    words = sorted({r["term"] for r in terms})
+    number = {w: i for i, w in enumerate(words)}
+    ids = sorted({r["query_id"] for r in terms})
+    place = {q: i for i, q in enumerate(ids)}
+    asked = spark.sparkContext.broadcast((number, ids, [(place[r["query_id"]], number[r["term"]], r["count"]) for r in terms]))
+    counted = docs.select("doc_id", "text").mapInPandas(term_counts(asked), "doc_id long, size long, term array<int>, tf array<int>").persist()
+    total = counted.agg(F.count("*").alias("n"), F.avg("size").alias("avg")).first()
+    df = {r["term"]: r["count"] for r in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect()}
+    scored = counted.mapInPandas(bm25_scores(asked, total["n"], total["avg"] or 1.0, df, k, k1, b), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def fuse(lists: list[DataFrame], constant: int = 60) -> DataFrame:
-    """query_id, id, rrf: the sum of 1 / (constant + rank) over ranked lists (query_id, id, rank)."""
-    every = lists[0].select("query_id", "id", "rank")
-    for x in lists[1:]:
-        every = every.union(x.select("query_id", "id", "rank"))
-    return every.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 8).alias("rrf"))
+def term_counts(asked):
+    word = re.compile(r"\w+")
+
+    def run(batches: Iterator) -> Iterator:
+        from collections import Counter
+
+        import pandas as pd
+
+        number = asked.value[0]
+        for b in batches:
+            sizes, terms, tfs = [], [], []
+            for text in b["text"]:
+                tokens = word.findall((text or "").lower())
+                found = Counter(number[t] for t in tokens if t in number)
+                sizes.append(len(tokens))
+                terms.append(list(found))
+                tfs.append(list(found.values()))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "size": sizes, "term": terms, "tf": tfs})
+
+    return run
+
+
+def bm25_scores(asked, n: int, average: float, df: dict, k: int, k1: float, b: float):
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        number, ids, terms = asked.value
+        idf = np.zeros(len(number))
+        for t, d in df.items():
+            idf[t] = np.log(1 + (n - d + 0.5) / (d + 0.5))
+        at = np.argsort([t for _, t, _ in terms], kind="stable")
+        q, t, times = (np.array([r[i] for r in terms])[at] for i in range(3)) if terms else (np.zeros(0, int),) * 3
+        first = np.searchsorted(t, np.arange(len(number) + 1))
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                x = batch.iloc[start : start + 2000]
+                count = x["term"].map(len).to_numpy()
+                if not count.sum():
+                    continue
+                doc, term, tf = np.repeat(np.arange(len(x)), count), np.concatenate(x["term"].to_list()), np.concatenate(x["tf"].to_list())
+                part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * x["size"].to_numpy()[doc] / average))
+                many = first[term + 1] - first[term]
+                who = np.repeat(first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                cell = q[who] * len(x) + np.repeat(doc, many)
+                score = np.round(np.bincount(cell, np.repeat(part, many) * times[who], minlength=len(ids) * len(x)).reshape(len(ids), len(x)), 6)
+                doc_id = x["doc_id"].to_numpy()
+                for i, row in enumerate(score):
+                    hit = np.flatnonzero(row > 0)
+                    hit = hit[np.lexsort((doc_id[hit], -row[hit]))[:k]]
+                    if len(hit):
+                        yield pd.DataFrame({"query_id": ids[i], "doc_id": doc_id[hit], "score": row[hit]})
+
+    return run
+
+
+def bm25_candidates(candidates: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """candidates (query_id, id, query, content, ...) with keyword_score: BM25 with the statistics of each query's own list.
+
+    Lists are top-k results, so a query's terms and lengths are a few rows."""
+    keys = ["query_id", "id"]
+    base = candidates.select(*keys, "query", word_tokens(F.col("content")).alias("t"))
+    per = Window.partitionBy("query_id")
+    sizes = base.select(*keys, F.size("t").alias("size")).withColumn("n", F.count("*").over(per)).withColumn("avg", F.avg("size").over(per))
+    asked = base.select("query_id", "query").distinct().select("query_id", F.explode(word_tokens(F.col("query"))).alias("term"))
+    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    tf = base.select(*keys, F.explode("t").alias("term")).join(asked, ["query_id", "term"]).groupBy(*keys, "term", "times").agg(F.count("*").alias("tf"))
+    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("query_id", "term"))).join(sizes, keys)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    bound = F.col("tf") + k1 * (1 - b + b * F.col("size") / F.greatest(F.col("avg"), F.lit(1.0)))
+    score = tf.groupBy(*keys).agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / bound), 6).alias("keyword_score"))
+    return candidates.join(score, keys, "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
+
+
+def fuse(candidates: DataFrame, k: int | None = None, constant: int = FUSION, weights: tuple[float, float] = (VECTOR_WEIGHT, KEYWORD_WEIGHT)) -> DataFrame:
+    """candidates (query_id, id, rank, keyword_score, ...) with fused and fused_rank: weighted reciprocal ranks of the vector
+    hits; the keyword rank is that of the scores, ties by vector rank. Nothing but vector hits comes out."""
+    per = Window.partitionBy("query_id")
+    ranked = candidates.withColumn("keyword_rank", F.row_number().over(per.orderBy(F.desc("keyword_score"), "rank")))
+    score = weights[0] / (constant + F.col("rank")) + weights[1] / (constant + F.col("keyword_rank"))
+    out = ranked.withColumn("fused", F.round(score, 9)).withColumn("fused_rank", F.row_number().over(per.orderBy(F.desc("fused"), "rank")))
+    return out if k is None else out.filter(F.col("fused_rank") <= k)
 
 
 def windows(docs: DataFrame, words: Column, size: int = 400, overlap: int = 75) -> DataFrame:
@@ -58,4 +175,6 @@ def windows(docs: DataFrame, words: Column, size: int = 400, overlap: int = 75)
     step = size - overlap
     n = F.size("_w")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / step).cast("int") - 1))
-    return docs.select("doc_id", words.alias("_w")).filter(n > 0).select("doc_id", F.explode(starts).alias("chunk_index"), n.alias("_n")).select("doc_id", F.col("chunk_index").cast("long"), F.least(F.lit(size), F.col("_n") - F.col("chunk_index") * step).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", words.alias("_w")).filter(n > 0).select("doc_id", F.explode(starts).alias("chunk_index"), n.alias("_n"))
+    n_words = F.least(F.lit(size), F.col("_n") - F.col("chunk_index") * step).cast("long")
+    return rows.select("doc_id", F.col("chunk_index").cast("long"), n_words.alias("n_words"))

@@ -26,11 +26,26 @@ def bm25_topk(spark, d):
     return R.bm25(table(spark, d, "documents"), q, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
+def hits(spark, d, k):
+    """query_id, id, similarity, rank, query, content, source of each query's k nearest vectors; a vector's id names its
+    document (a convention of these tables)."""
+    near = R.knn(table(spark, d, "embeddings"), query_vectors(spark, d), k).withColumnRenamed("vec_id", "id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return near.join(F.broadcast(q), "query_id").join(docs, "id", "left")
+
+
+def hybrid(spark, d, k=20):
+    """The k best of 2k vector hits by weighted reciprocal ranks of vector and keywords."""
+    return R.fuse(R.bm25_candidates(hits(spark, d, 2 * k)), k)
+
+
+def bm25_candidates(spark, d):
+    return R.bm25_candidates(hits(spark, d, 40)).select("query_id", "id", "keyword_score")
+
+
 def rrf_hybrid(spark, d):
-    near = R.knn(table(spark, d, "embeddings"), query_vectors(spark, d), 20).select("query_id", F.col("vec_id").alias("id"), "rank")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    lexical = R.bm25(table(spark, d, "documents"), q, 20).select("query_id", F.col("doc_id").alias("id"), "rank")
-    return R.fuse([near, lexical])
+    return hybrid(spark, d).select("query_id", "id", "fused", F.col("fused_rank").cast("long").alias("rank"))
 
 
 def text_features(spark, d):
@@ -76,12 +91,27 @@ tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS l
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), s GROUP BY ALL),
 lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+HYBRID = f"""{KNN},
+hit AS (SELECT near.query_id, near.vec_id AS id, near.similarity, near.rank, b.text AS query, d.text AS content, d.source
+  FROM near JOIN benchmark b ON b.item_id = near.query_id LEFT JOIN documents d ON d.doc_id = near.vec_id WHERE near.rank <= 40),
+tok AS (SELECT query_id, id, {TOKENS.replace('text', 'content')} AS t FROM hit),
+ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT DISTINCT query_id, unnest({TOKENS.replace('text', 'query')}) AS term, generate_subscripts({TOKENS.replace('text', 'query')}, 1) AS place FROM hit) GROUP BY ALL),
+siz AS (SELECT query_id, id, len(t) AS size, count(*) OVER (PARTITION BY query_id) AS n, avg(len(t)) OVER (PARTITION BY query_id) AS mean FROM tok),
+tfs AS (SELECT query_id, id, term, count(*) AS tf FROM (SELECT query_id, id, unnest(t) AS term FROM tok) JOIN ask USING (query_id, term) GROUP BY ALL),
+dfs AS (SELECT query_id, term, count(*) AS df FROM tfs GROUP BY ALL),
+kws AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / greatest(mean, 1)))), 6) AS s
+  FROM tfs JOIN dfs USING (query_id, term) JOIN ask USING (query_id, term) JOIN siz USING (query_id, id) GROUP BY ALL),
+kwd AS (SELECT hit.*, coalesce(s, 0::DOUBLE) AS keyword_score FROM hit LEFT JOIN kws USING (query_id, id)),
+kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_score DESC, rank) AS keyword_rank FROM kwd),
+fus AS (SELECT *, round(0.7::DOUBLE / (60 + rank) + 0.3::DOUBLE / (60 + keyword_rank), 9) AS fused FROM kwr),
+hyb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, rank) AS fused_rank FROM fus) WHERE fused_rank <= 20)"""
 BARE = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ')"
 
 CATALOGUE = {
     "knn_batch": (knn_batch, f"WITH {KNN} SELECT query_id, vec_id, similarity, rank FROM near WHERE rank <= 10"),
     "bm25_topk": (bm25_topk, f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM lex WHERE rank <= 10"),
-    "rrf_hybrid": (rrf_hybrid, f"WITH {KNN}, {BM25}, u AS (SELECT query_id, vec_id AS id, rank FROM near WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM lex WHERE rank <= 20) SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS rrf FROM u GROUP BY ALL"),
+    "bm25_candidates": (bm25_candidates, f"WITH {HYBRID} SELECT query_id, id, keyword_score FROM kwd"),
+    "rrf_hybrid": (rrf_hybrid, f"WITH {HYBRID} SELECT query_id, id, fused, fused_rank AS rank FROM hyb"),
     "text_features": (text_features, f"SELECT doc_id, len({WORDS}) AS n_words, length(coalesce(text, '')) AS n_code_points, coalesce(regexp_matches(text, '[0-9]'), false) AS has_number, coalesce(regexp_matches(text, '(^|\\n)[ ]*([-*]|[0-9]+\\.) '), false) AS has_list, len({TOKENS}) AS n_tokens FROM documents"),
     "html_strip": (html_strip, f"SELECT page_id, length({BARE}) AS n_chars, md5({BARE}) AS text_md5 FROM pages"),
     "chunk_windows": (chunk_windows, f"WITH w AS (SELECT doc_id, len({WORDS}) AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, greatest(1, ceil((n - 75) / 325.0)::BIGINT))) AS chunk_index FROM w WHERE n > 0) SELECT doc_id, chunk_index, least(400, n - chunk_index * 325)::BIGINT AS n_words FROM c"),

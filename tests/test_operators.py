@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import clustering, ranking
+from skein.operators import chunking, clustering, ranking, retrieval
 from skein.sources import files
 from skein.streaming import telemetry
 
@@ -25,10 +25,15 @@ def test_matches_and_proximity(spark):
 
 
 def test_gate_and_context(spark):
-    c = spark.createDataFrame([(1, 1, 0.4), (1, 2, 0.3), (2, 1, 0.6), (3, 1, 0.3), (3, 2, 0.29)], "query_id long, rank int, similarity double")
-    assert {r.query_id: r.decision for r in ranking.gate(c).collect()} == {1: "override", 2: "accept", 3: "fallback"}
-    b = spark.createDataFrame([(1, 1, "x" * 50), (1, 2, "y"), (2, 1, "abc"), (2, 2, "de"), (2, 3, "f" * 9), (2, 4, "g"), (3, 1, None)], "query_id long, rank int, block string")
-    assert {r.query_id: (r.n_used, r.n_chars) for r in ranking.assemble(b, 10).collect()} == {1: (1, 50), 2: (2, 5), 3: (1, 0)}
+    rows = [(1, 1, 0.4, "a b c"), (1, 2, 0.3, "a b c"), (2, 1, 0.6, "a b c"), (3, 1, 0.3, "a b c"), (3, 2, 0.29, "a b c"), (4, 1, 0.36, "hi")]
+    c = spark.createDataFrame([(q, i, i, s, t) for q, i, s, t in rows], "query_id long, id long, new_rank int, similarity double, query string")
+    assert {r.query_id: r.decision for r in ranking.gate(c).collect()} == {1: "override", 2: "accept", 3: "fallback_ondevice_low_confidence", 4: "accept"}
+    assert sorted((r.query_id, r.id) for r in ranking.gated(c, 1).collect()) == [(1, 1), (1, 2), (2, 1), (4, 1)]
+    b = spark.createDataFrame([(1, 1, "x" * 90), (1, 2, "y"), (2, 1, "abc"), (2, 2, "de"), (2, 3, "f" * 90), (2, 4, "g"), (3, 1, None)], "query_id long, rank int, content string")
+    got = {r.query_id: (r.n_used, r.context) for r in ranking.assemble(b.withColumn("similarity", F.lit(0.5)), 100).collect()}
+    head = lambda i: f"[Document Chunk {i}, Similarity: 0.500]\n"
+    assert got[1] == (1, head(1) + "x" * 90 + "\n\n---\n\n") and got[3] == (1, head(1))
+    assert got[2] == (2, head(1) + "abc\n\n---\n\n" + head(2) + "de\n\n---\n\n")
 
 
 def test_mmr_prefers_the_different(spark):
@@ -38,6 +43,25 @@ def test_mmr_prefers_the_different(spark):
     assert ranking.mmr(c.limit(0), 2).count() == 0
 
 
+def test_knn_of_odd_vectors(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.similarity) for r in retrieval.knn(v, q, 3).orderBy("rank").collect()] == [(7, 1, 1.0), (7, 5, 1.0), (7, 2, 0.0)]
+    assert [r.vec_id for r in retrieval.knn(v, q, 3, 0.5).orderBy("rank").collect()] == [1, 5]
+    assert retrieval.knn(v, q.limit(0), 3).count() == 0
+
+
+def test_chunks_of_small_texts(spark):
+    small = "one two, • three"
+    long = " ".join(f"w{i}{'.' if i % 7 == 6 else ''}" for i in range(900))
+    d = spark.createDataFrame([(1, small), (2, ""), (3, None), (4, long)], "doc_id long, text string")
+    got = chunking.chunks(d).orderBy("doc_id", "chunk_index").collect()
+    assert [(r.doc_id, r.content, r.semantic_density, r.has_list, r.end_position) for r in got if r.doc_id < 4] == [(1, small, 0.5, True, len(small))]
+    mine = [r for r in got if r.doc_id == 4]
+    assert mine[0].start_position == 0 and all(a.end_position > b.start_position for a, b in zip(mine, mine[1:]))
+    assert all(r.content[-1] in ".!?" or r.end_position == len(long) for r in mine) and all(r.word_count <= 420 for r in mine)
+
+
 def test_kmeans_equals_numpy(spark):
     x = np.random.default_rng(3).normal(size=(60, 4)).round(3)
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
