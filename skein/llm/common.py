@@ -48,17 +48,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
+    _WRITTEN.append(path)
     return out
 
 
+#: Tables of this driver that nothing has discarded yet.
+_WRITTEN: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def discard_but(spark: SparkSession, before: list[str], *frames: DataFrame) -> None:
+    """Delete the tables written since `before` (a copy of written()) but those of frames."""
+    kept = {*before, *(getattr(df, "_skein_path", None) for df in frames)}
+    for path in [p for p in _WRITTEN if p not in kept]:
+        delete(spark, path)
+
+
+def written() -> list[str]:
+    return list(_WRITTEN)
+
+
+def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
+    """df with a number for each row, written: a later scan may split the rows elsewhere, the written number stays."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables written by materialize() that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_skein_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def text_of(docs: DataFrame, text: str = "text") -> Column:

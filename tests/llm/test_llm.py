@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from skein.llm import context_tree, decontamination, html_text, media, minhash, packing, repeats, secrets, sharding, toxicity
 from pyspark.sql import functions as F
 
@@ -357,3 +358,83 @@ def test_word_tables_start_anew_when_full(texts):
     for at in range(0, len(texts), 7):
         part = [t or "" for _, t in texts[at : at + 7]]
         assert [x.tolist() for x in one(part)] == [x.tolist() for x in small(part)] == [one.tok.encode(t, add_special_tokens=False).ids for t in part]
+
+
+@pytest.fixture()
+def small_tables(spark, tmp_path, texts):
+    """documents with repeated ids of different texts, null ids, null and empty texts and a clashing column."""
+    import corpus_pipeline
+
+    item = " ".join(f"bench{i}" for i in range(30))
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (None, a), (None, c), (None, None), (3, None), (4, ""), (5, f"x {item} y"), (None, f"{item} {b[::-1]}"), (6, f"key token = 'abcdef0123456789abcdef' {c[::-1]}"), (7, c)]
+    rows = [(i, t, "en", "s", 0, "mine") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _salt string"
+    d = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return corpus_pipeline, d, rows, schema
+
+
+def test_stages_keep_every_clean_row(spark, small_tables):
+    pipe, d, rows, schema = small_tables
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    key = lambda rows: sorted((repr(r[0]), repr(r[1])) for r in rows)
+    near = pipe.near_dedup(spark, docs, d)
+    assert near.columns == docs.columns
+    gone = [(2, rows[2][1]), (None, rows[0][1]), (None, rows[4][1])]
+    assert key(near.collect()) == key([r for r in rows if (r[0], r[1]) not in gone])
+    clean = pipe.decontamination(spark, docs, d)
+    assert clean.columns == docs.columns and key(clean.collect()) == key([r for r in rows if "bench3" not in (r[1] or "")])
+    secret = pipe.secret_scan(spark, docs, d)
+    assert secret.columns == docs.columns and secret.count() == len(rows)
+    assert sum("[SECRET]" in (r.text or "") for r in secret.collect()) == 1
+    assert pipe.toxicity(spark, docs, d).columns == docs.columns
+    none = spark.createDataFrame([], schema)
+    for _, stage in pipe.STAGES:
+        assert stage(spark, none, d).count() == 0
+
+
+def test_pipeline_is_its_stages_in_a_row(spark, small_tables, monkeypatch):
+    import os
+
+    from skein.llm.common import shared_dir
+
+    pipe, d, rows, _ = small_tables
+    monkeypatch.setattr(pipe, "toxicity", lambda s, docs, _: docs)
+    monkeypatch.setattr(pipe, "STAGES", [(n, getattr(pipe, n, f)) for n, f in pipe.STAGES])
+    got = pipe.run(spark, d).collect()
+    assert len(got) == len(rows) - 5  # three copies and two leaks
+    assert [r.length for r in got if r.doc_id == 4] == [1]
+    left = [x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("stage-")]
+    assert len(left) == 1
+
+
+def test_overlaps_equal_an_exhaustive_search(spark):
+    """Substitutions at random places: the best segment of any diagonal, where seeds can find one."""
+    r = random.Random(12)
+    items = [(k, " ".join(f"i{k}w{r.randrange(50)}" for _ in range(r.randint(8, 40)))) for k in range(20)]
+    docs = []
+    for n in range(80):
+        k = r.randrange(20)
+        v = items[k][1].split()
+        for p in r.sample(range(len(v)), min(len(v), r.randint(0, 6))):
+            v[p] = "zz"
+        docs.append((n, " ".join(["pre"] * r.randint(0, 9) + v + ["post"] * 5)))
+    want = set()
+    for n, t in docs:
+        h = np.array(t.split(), object)
+        for k, item in items:
+            w = np.array(item.split(), object)
+            best = max(decontamination.segment(h[max(0, d) : d + len(w)] == w[max(0, -d) : max(0, -d) + len(h[max(0, d) : d + len(w)])])[2] for d in range(-len(w) + 1, len(h)))
+            if best >= min(12, 0.75 * len(w)):
+                want.add((n, k, best))
+    got = {(x.doc_id, x.item_id, x.matched) for x in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {x[:2] for x in got} <= {x[:2] for x in want} and len(got & want) >= 0.95 * len(want) > 30
+
+
+def test_a_repetitive_item_and_text_stay_cheap():
+    item, text = "a b " * 3000, "a b " * 30000
+    assert decontamination.Overlaps([(1, item)]).hashes is not None
+    assert decontamination.Overlaps([(1, "a b " * 40)])("x " + "a b " * 40)[0][2] == 80
