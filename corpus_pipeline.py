@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import materialize, table
+from skein.llm.common import discard_but, materialize, table, written
 from skein.llm.decontamination import drop_contaminated
-from skein.llm.minhash import near_duplicates
+from skein.llm.minhash import drop_near_duplicates
 from skein.llm.packing import pack_documents
 from skein.llm.secrets import redact
 from skein.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores below the threshold of their language; repeated rows fare alike, rows without text are judged as
+    texts without words."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without id stay: nothing can name them as copies."""
-    kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id IS NULL"))
+    """One row of each group of near copies; rows without words stay, and so does every text that has no copy, whatever
+    its doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text overlaps no item of benchmark."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, the secrets in their texts replaced; null texts stay null."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows with their place; a row without text is the end id alone."""
     return pack_documents(docs)
 
 
@@ -42,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table, and what it wrote on the way, goes when the next one has been written."""
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_but(spark, before, docs)
     return docs
