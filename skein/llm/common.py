@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from .common import RunHashes, SlotTable, discard, materialize, table
 
 DEPTH, END = 6, 255
 #: Bytes of text of a group and for a bucket, bytes taken at once, grams held by a group before it sends them.
-GROUP_BYTES, BUCKET_BYTES, CHUNK, FLUSH = 64 << 20, 32 << 20, 1 << 20, 4_000_000
+GROUP_BYTES, BUCKET_BYTES, CHUNK, FLUSH = 64 << 20, 12 << 20, 1 << 20, 4_000_000
 #: Key of the word that ends each text.
 END_WORD = 2
 
@@ -123,68 +123,49 @@ def kt(a, b):
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-class Layer:
-    """The nodes of one depth: keys are its grams (context, byte) in order, so the nodes of each bit level are runs."""
-
-    def __init__(self, keys, n):
-        import numpy as np
-
-        self.keys, self.n, self.node, self.first, self.a, self.b, self.weight, self.total = keys, n, [], [], [], [], [], []
-        for level in range(8):
-            head = keys >> np.uint64(8 - level)
-            new = np.concatenate([[True], head[1:] != head[:-1]])
-            node, bit = np.cumsum(new) - 1, (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            self.node.append(node)
-            self.first.append(np.flatnonzero(new))
-            self.a.append(np.bincount(node, np.where(bit, 0, n)))
-            self.b.append(np.bincount(node, np.where(bit, n, 0)))
-
-    def weigh(self, deeper: Layer | None = None, up=None) -> None:
-        """Weights of the own estimates against those of the deeper layer; up: index of each of its keys among mine."""
-        import numpy as np
-
-        for level in range(8):
-            own = kt(self.a[level], self.b[level])
-            if deeper is None:
-                self.total.append(own)
-                self.weight.append(np.ones(len(own)))
-                continue
-            total = math.log(0.5) + np.logaddexp(own, self.below(level, deeper, up))
-            self.total.append(total)
-            self.weight.append(np.exp(math.log(0.5) + own - total))
-
-    def below(self, level: int, deeper: Layer, up):
-        import numpy as np
+def stacked(keys, n, least: int):
+    """(keys, n, up) of the grams of depth DEPTH..least, the deepest first; up: for each key above, its index here."""
+    import numpy as np
 
-        return np.bincount(self.node[level][up[deeper.first[level]]], deeper.total[level], minlength=len(self.a[level]))
+    out = [(keys, n, None)]
+    for depth in range(DEPTH - 1, least - 1, -1):
+        out.append(merged(out[-1][0] & np.uint64((1 << 8 * (depth + 1)) - 1), out[-1][1]))
+    return out
 
 
-def layers(keys, n, least: int):
-    """Layers of depth least..DEPTH, the deepest first, weighed but for the last; for each but the first, the index of the
-    keys above among its own."""
+def chain(stack, level: int):
+    """For each layer of a stack its nodes of one bit level: node of each key, first key of each node, zeros, ones, weight of
+    the own estimate, and the sum of what is below. Keys are in order, so a node is a run of them."""
     import numpy as np
 
-    out, ups = [Layer(keys, n)], [None]
-    out[0].weigh()
-    for depth in range(DEPTH - 1, least - 1, -1):
-        short, n, up = merged(out[-1].keys & np.uint64((1 << 8 * (depth + 1)) - 1), out[-1].n)
-        out.append(Layer(short, n))
-        ups.append(up)
-        if depth > least:
-            out[-1].weigh(out[-2], up)
-    return out, ups
+    out, first_above, total = [], None, None
+    for keys, n, up in stack:
+        head = keys >> np.uint64(8 - level)
+        new = np.concatenate([[True], head[1:] != head[:-1]])
+        node, bit, below = np.cumsum(new) - 1, (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool), None
+        a, b = np.bincount(node, np.where(bit, 0, n)), np.bincount(node, np.where(bit, n, 0))
+        own = kt(a, b)
+        if up is not None:
+            below = np.bincount(node[up[first_above]], total, minlength=len(a))
+            total = math.log(0.5) + np.logaddexp(own, below)
+        else:
+            total = own
+        weight = np.exp(math.log(0.5) + own - total) if up is not None else np.ones(len(own))
+        first_above = np.flatnonzero(new)
+        out.append((node, first_above, a, b, weight, below))
+    return out
 
 
 def top_parts(keys, n):
     """Nodes of depth 1 as (b1 << 8 | node), zeros, ones and the sum of what is below, from the grams of one bucket."""
     import numpy as np
 
-    out, ups = layers(keys, n, 1)
-    last, parts = out[-1], []
+    stack, parts = stacked(keys, n, 1), []
     for level in range(8):
-        k = last.keys[last.first[level]]
+        _, first, a, b, _, below = chain(stack, level)[-1]
+        k = stack[-1][0][first]
         node = (k >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << level) | (k & np.uint64(255)) >> np.uint64(8 - level)
-        parts.append((node, last.a[level], last.b[level], last.below(level, out[-2], ups[-1])))
+        parts.append((node, a, b, below))
     return [np.concatenate(c) for c in zip(*parts)]
 
 
@@ -207,38 +188,50 @@ def values(keys, n, top):
     """log10 probability of the byte of each gram of one bucket in its context."""
     import numpy as np
 
-    out, ups = layers(keys, n, 2)
-    out[-1].weigh(out[-2], ups[-1])
-    logs = np.zeros(len(keys))
+    stack, logs = stacked(keys, n, 2), np.zeros(len(keys))
+
+    def see(state, bit, a, b, w):
+        """One depth further: where it was seen, its estimate is the one that stands for all deeper ones."""
+        acc, rest, last, weight = state
+        seen = a + b > 0
+        est = (np.where(bit, b, a) + 0.5) / (a + b + 1)
+        acc = np.where(seen, acc + rest * weight * last, acc)
+        rest = np.where(seen, rest * (1 - weight), rest)
+        return acc, rest, np.where(seen, est, last), np.where(seen, w, weight)
+
+    k = stack[-1][0]
+    ones = (k >> np.uint64(8) & np.uint64(255)).astype(np.int64) << 8
     for level in range(8):
-        k = out[-1].keys
         node = (np.uint64(1 << level) | (k & np.uint64(255)) >> np.uint64(8 - level)).astype(np.int64)
         bit = (k >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-        acc, rest, last, weight = np.zeros(len(k)), np.ones(len(k)), np.full(len(k), 0.5), np.zeros(len(k))
-
-        def see(state, bit, a, b, w):
-            """One depth further: where it was seen, its estimate is the one that stands for all deeper ones."""
-            acc, rest, last, weight = state
-            seen = a + b > 0
-            est = (np.where(bit, b, a) + 0.5) / (a + b + 1)
-            acc = np.where(seen, acc + rest * weight * last, acc)
-            rest = np.where(seen, rest * (1 - weight), rest)
-            return acc, rest, np.where(seen, est, last), np.where(seen, w, weight)
-
-        state = acc, rest, last, weight
-        for (a, b, w), at in ((top[1], node), (top[0], (k >> np.uint64(8) & np.uint64(255)).astype(np.int64) << 8 | node)):
+        state = np.zeros(len(k)), np.ones(len(k)), np.full(len(k), 0.5), np.zeros(len(k))
+        for (a, b, w), at in ((top[1], node), (top[0], ones | node)):
             state = see(state, bit, a[at], b[at], w[at])
-        for i in range(len(out) - 1, -1, -1):
-            if i < len(out) - 1:
-                state = tuple(s[ups[i + 1]] for s in state)
-            layer = out[i]
-            at, bit = layer.node[level], (layer.keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            state = see(state, bit, layer.a[level][at], layer.b[level][at], layer.weight[level][at])
-        acc, rest, last, weight = state
+        links = chain(stack, level)
+        for i in range(len(stack) - 1, -1, -1):
+            if i < len(stack) - 1:
+                state = tuple(s[stack[i + 1][2]] for s in state)
+            at, _, a, b, w, _ = links.pop()
+            state = see(state, (stack[i][0] >> np.uint64(7 - level) & np.uint64(1)).astype(bool), a[at], b[at], w[at])
+        acc, rest, last, _ = state
         logs += np.log10(acc + rest * last)
     return logs
 
 
+def pack7(keys) -> bytes:
+    import numpy as np
+
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unpack7(raw: bytes):
+    import numpy as np
+
+    out = np.zeros((len(raw) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
+
+
 class Counts:
     """Sorted keys and their counts, added to in place."""
 
@@ -257,20 +250,6 @@ class Counts:
         self.keys, self.n = np.insert(self.keys, at[~held], keys[~held]), np.insert(self.n, at[~held], n[~held].astype(np.uint32))
 
 
-def pack7(keys) -> bytes:
-    import numpy as np
-
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def unpack7(raw: bytes):
-    import numpy as np
-
-    out = np.zeros((len(raw) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).ravel()
-
-
 def bucket_of(n_buckets: int):
     """The bucket of each pair of last context bytes."""
     import numpy as np

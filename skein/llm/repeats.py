@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 LENGTH, K, HALF = 50, 24, 32
 GROUP_BYTES = 4 << 20
@@ -276,9 +276,11 @@ def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     one = materialize(one.select("doc_id", "text", "h", F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("grp")), "texts")
     grouped = one.groupBy("grp")
     runs = materialize(one.select("doc_id", "text", "grp").groupBy("grp").applyInPandas(send_runs(n), SENT).groupBy("bucket").applyInPandas(answer, TOLD), "answers")
-    points = one.select("doc_id", "text", "grp").groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(send_places(n), SENT).groupBy("bucket").applyInPandas(answer, TOLD)
+    asked = one.select("doc_id", "text", "grp").groupBy("grp").cogroup(runs.groupBy("grp")).applyInPandas(send_places(n), SENT)
+    points = materialize(asked.groupBy("bucket").applyInPandas(answer, TOLD), "points")
     replies = runs.withColumn("places", F.lit(False)).union(points.withColumn("places", F.lit(True)))
     cuts = materialize(grouped.cogroup(replies.groupBy("grp")).applyInPandas(cut, "h string, cut_bytes long, cut_spans long, cut_sha256 string"), "cuts")
+    discard(one, runs, points)
     copy = F.col("doc_id") > F.col("rep")
     joined = rows.select("doc_id", "h", "n_bytes").join(first.select("h", "rep").join(cuts, "h", "left"), "h", "left")
     own = F.col("doc_id") == F.col("rep")
