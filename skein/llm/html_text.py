@@ -2,7 +2,7 @@
 
 The page becomes a tree; each paragraph gives points for its length and commas to its ancestors, halved at
 each step up; a container's points are discounted by its link density; the best container is kept together
-with its siblings that score enough or are plain paragraphs of prose.
+with its siblings, and those of the containers around it, that are neither side matters by name nor mostly links.
 
 A name (class, id or role) that sounds like a side matter only lowers the points below it. The subtree goes if it also
 has little prose or many links, and holds no article, no main and not the best container.
@@ -184,8 +184,10 @@ def weak(nodes: list[Node], sizes: dict, best: Node) -> list[Node]:
 
 def main_text(html: str | None) -> str:
     """The main text: one line for each block, white space inside it made single spaces."""
-    tree = Tree()
-    tree.feed(html or "")
+    tree, html = Tree(), html or ""
+    if (cut := html.rfind("<!--")) > html.rfind("-->") and cut > html.lower().rfind("<script"):
+        html = html[:cut]  # a comment without end goes to the end of the page
+    tree.feed(html)
     HTMLParser.close(tree)
     sizes, nodes = scored(tree.top)
     density = lambda x: sizes[id(x)][1] / max(1, sizes[id(x)][0])
@@ -203,17 +205,28 @@ def main_text(html: str | None) -> str:
         return "\n".join(blocks([tree.top]))
     while best.parent and best.parent.tag in ("article", "main"):
         best = best.parent
-    if not best.parent or best.tag in ("article", "main"):
-        return "\n".join(blocks([best]))
-    kept = []
-    for y in best.parent.items:
-        if isinstance(y, str) or y.dropped or y.tag in VOID:
-            continue
-        n, _, commas = sizes[id(y)]
-        prose = y.tag == "p" and density(y) < 0.25 and (n > 80 or commas or n and not density(y))
-        if y is best or score(y) >= max(10, score(best) * 0.2) or prose or y.tag in ("h1", "h2") and n:
-            kept.append(y)
-    return "\n".join(blocks(kept))
+    if best.tag in ("article", "main"):
+        whole = [x for x in nodes if x.tag == best.tag and (x is best or not x.faint and not inside(x, best.tag) and density(x) <= MANY_LINKS)]
+        return "\n".join(blocks(whole))
+    # from the best container up to the page: what stands beside it stays unless it is named a side matter or is mostly links
+    way, up = [], best
+    while up:
+        way.append(up)
+        up = up.parent
+    if best.tag in ("body", "html"):  # nothing stands beside it: its own parts are looked at, but for paragraphs
+        way.insert(0, Node("p", None))
+    for inner, outer in zip(way, way[1:]):
+        for y in outer.items:
+            if isinstance(y, Node) and y is not inner and not y.dropped and y.tag not in VOID and y.tag != "p" and (y.faint or density(y) > MANY_LINKS):
+                y.dropped = True
+    return "\n".join(blocks([tree.top]))
+
+
+def inside(x: Node, tag: str) -> bool:
+    up = x.parent
+    while up and up.tag != tag:
+        up = up.parent
+    return up is not None
 
 
 def extract(pages: DataFrame) -> DataFrame:

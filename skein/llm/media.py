@@ -156,6 +156,8 @@ def sniff_media(frame: DataFrame, key: str, content: str, declared: str | None =
             out = [(k, at, n, kind, n == len(v), d, d != kind, bytes(v[at : at + n])) for k, v, d in zip(b["k"], b["v"], b["d"]) if v for at, n, kind in sniff(bytes(v), machine)]
             yield pd.DataFrame(out, columns=["k", "offset", "length", "media_type", "whole", "declared_type", "mismatch", "media"])
 
+    if key in ("offset", "length", "media_type", "whole", "declared_type", "mismatch", "media"):
+        raise ValueError(f"the key column {key} has the name of a result column")
     cols = frame.select(F.col(key).cast("string").alias("k"), F.col(content).alias("v"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("d"))
     return cols.mapInPandas(run, "k string, offset long, length long, media_type string, whole boolean, declared_type string, mismatch boolean, media binary").withColumnRenamed("k", key)
 
@@ -184,9 +186,18 @@ def samples(png: bytes) -> bytes:
     return b"".join(lines[i + 1 : i + 1 + width] for i in range(0, len(lines), width + 1))
 
 
+#: What stands before and after the stored form in op1's containers, which are declared as DECLARED.
+DECLARED, BEFORE, AFTER = "text/plain", b"\0container BM RIFF \x89PNG\0", b"\0IEND trailer"
+
+
 def op1_media(spark, sf_dir: str) -> DataFrame:
-    """Each text is stored as a PNG; the sniffer finds it behind a declared type that is wrong, and the carved bytes
-    are read back. feature: the media type found, width x height, the mean sample and the confirmed length."""
+    """Each text is stored as a PNG inside a container that is declared as plain text, with other bytes (false magics among
+    them) before and after. The sniffer finds the medium, corrects the declared type and carves it; the payload is read back
+    from what was carved. media_offset, declared_type, found_type, mismatch: what the sniffer says of the container; feature:
+    the type, width x height, the mean sample and the confirmed length.
+
+    Defined results: a null or empty text is one unit of bytes 255; repeated rows and null ids each give a row; an empty table
+    gives none; further columns are ignored."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -197,12 +208,14 @@ def op1_media(spark, sf_dir: str) -> DataFrame:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                stored = store(raw + b"\xff" * ((-len(raw)) % UNIT if raw else UNIT))
-                at, n, kind = sniff(stored, machine)[0]
-                media = stored[at : at + n]
+                container = BEFORE + store(raw + b"\xff" * ((-len(raw)) % UNIT if raw else UNIT)) + AFTER
+                (at, n, kind), *_ = sniff(container, machine)
+                media = container[at : at + n]
                 back = samples(media)
                 feature = f"{kind};{UNIT}x{len(back) // UNIT};mean={np.frombuffer(back, np.uint8).mean():.6f};length={n}"
-                out.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                found = at, DECLARED, kind, kind != DECLARED
+                out.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, *found))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media_offset long, declared_type string, found_type string, mismatch boolean"
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, schema)

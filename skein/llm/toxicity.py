@@ -203,10 +203,15 @@ def fold() -> Column:
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), fold() != 2)
-    out = scored(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
-    return out.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """predicted is by THRESHOLD; lang_threshold and lang_predicted are by the threshold of the row's language, fitted on the
+    labelled rows of fold 2, which the score has not seen."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels, fold() != 2)
+    limits = thresholds(language_counts(docs, labels, model, fold() == 2))
+    out = scored(docs.select("doc_id", "text", "lang"), model).select("row.doc_id", "score", limit_of(F.col("row.lang"), limits).alias("lang_threshold"))
+    at = lambda limit: (F.col("score") >= limit).cast("int")
+    held = F.coalesce(fold() == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", at(THRESHOLD).alias("predicted"), "lang_threshold", at(F.col("lang_threshold")).alias("lang_predicted"))
 
 
 def language_counts(docs: DataFrame, labels: DataFrame, model: dict, usable: Column) -> list[tuple[str, int, int, int]]:
