@@ -215,11 +215,15 @@ def main_text(html: str | None) -> str:
         up = up.parent
     if best.tag in ("body", "html"):  # nothing stands beside it: its own parts are looked at, but for paragraphs
         way.insert(0, Node("p", None))
-    for inner, outer in zip(way, way[1:]):
-        for y in outer.items:
-            if isinstance(y, Node) and y is not inner and not y.dropped and y.tag not in VOID and y.tag != "p" and (y.faint or density(y) > MANY_LINKS):
-                y.dropped = True
-    return "\n".join(blocks([tree.top]))
+    beside = [y for inner, outer in zip(way, way[1:]) for y in outer.items if isinstance(y, Node) and y is not inner and not y.dropped]
+    gone = [y for y in beside if y.tag not in VOID and y.tag != "p" and (y.faint or density(y) > MANY_LINKS)]
+    for y in gone:
+        y.dropped = True
+    if not (out := blocks([tree.top])):  # all the text there is
+        for y in gone:
+            y.dropped = False
+        out = blocks([tree.top])
+    return "\n".join(out)
 
 
 def inside(x: Node, tag: str) -> bool:
