@@ -13,9 +13,6 @@ from skein.sources.files import TYPES, detect_type
 TOPIC_PHRASES = ["However,", "Moreover,", "Furthermore,", "In contrast,", "On the other hand,", "Additionally,", "Nevertheless,", "Consequently,", "In conclusion,", "To summarize,"]
 SMALL_TALK = ["hi", "hello", "hey", "yo", "sup", "ok", "thanks", "thank you", "bye", "goodbye", "hola", "hiya"]
 QUESTIONS = [("How do I ", "Instructions for "), ("How to ", "Procedure for "), ("What is ", "Information about "), ("What are ", "Details on "), ("When should ", "Timing for "), ("Why ", "Reason for "), ("Can I ", "Possibility of "), ("Where ", "Location of ")]
-PATHS = ["a/report.PDF", "notes.md", "x.tar.gz", "main.rs", "table.csv", "deck.pptx", "photo.JPEG", "no_extension", "dir.d/file", "page.html"]
-ASKED = ["How do I open it?", "What is rain?", "Why not", "where is it?", "Can I go? Now?", "Tell me more"]
-LINKS = ["hf://own/repo/dir/file.bin", "hf://own/repo:v2/file.bin", "http://own/repo/f", "hf://own"]
 
 
 def topic_boundaries(spark, d):
@@ -78,19 +75,15 @@ def effective_topk(spark, d):
 
 
 def file_types(spark, d):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", detect_type(F.col("path")).alias("type"))
-
-
-def reformulated(spark, d):
-    q, out = F.col("question"), F.col("question")
-    for a, b in reversed(QUESTIONS):
-        out = F.when(q.startswith(a), F.replace(F.concat(F.lit(b), F.substr(q, F.lit(len(a) + 1))), F.lit("?"), F.lit(""))).otherwise(out)
-    return spark.createDataFrame([(x,) for x in ASKED], "question string").select("question", out.alias("statement"))
+    return table(spark, d, "pages").select("page_id", detect_type(F.col("url")).alias("type"))
 
 
 def hub_links(spark, d):
-    part = lambda i: F.regexp_extract("link", r"^hf://([^/]+)/([^/:]+)(?::([^/]+))?/(.+)$", i)
-    return spark.createDataFrame([(x,) for x in LINKS], "link string").select("link", part(1).alias("owner"), part(2).alias("repo"), part(3).alias("revision"), part(4).alias("path"))
+    """Links made of each document's container, language, revision (every other one) and id."""
+    revision = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(":v"), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
+    link = F.concat(F.lit("hf://"), "source", F.lit("/"), "lang", revision, F.lit("/dir/"), F.col("doc_id").cast("string"), F.lit(".bin"))
+    part = lambda i: F.regexp_extract(link, r"^hf://([^/]+)/([^/:]+)(?::([^/]+))?/(.+)$", i)
+    return table(spark, d, "documents").select("doc_id", part(1).alias("owner"), part(2).alias("repo"), part(3).alias("revision"), part(4).alias("path"))
 
 
 def average_durations(spark, d):
@@ -143,12 +136,14 @@ QUERIES = {
     "quota_check": (quota_check, "SELECT source, count(*) AS n, count(*) < 40 AS below_limit FROM documents GROUP BY source"),
     "sample_stratified": (sample_stratified, "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id)) AS n FROM documents) WHERE n <= 5"),
     "effective_topk": (effective_topk, f"SELECT conv_id, turn, CASE WHEN n <= 2 THEN 3::BIGINT ELSE 10::BIGINT END AS k, n <= 2 AND t IN ({', '.join(repr(x) for x in SMALL_TALK)}) AS small_talk FROM (SELECT *, lower(trim(coalesce(text, ''), ' ')) AS t, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n FROM conversations)"),
-    "file_types": (file_types, f"SELECT path, CASE {NAMED} ELSE 'unknown' END AS type FROM (SELECT path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS e FROM (VALUES {quoted(PATHS)}) v(path))"),
-    "reformulated": (reformulated, "SELECT question, CASE " + " ".join(f"WHEN starts_with(question, '{a}') THEN replace('{b}' || substring(question, {len(a) + 1}), '?', '')" for a, b in QUESTIONS) + f" ELSE question END AS statement FROM (VALUES {quoted(ASKED)}) v(question)"),
-    "hub_links": (hub_links, f"SELECT link, {PARTS} FROM (VALUES {quoted(LINKS)}) v(link)"),
     "average_durations": (average_durations, "SELECT event_type, round(sum(coalesce(value, 0)) / count(*), 4) AS avg_duration FROM events GROUP BY event_type"),
     "live_metrics": (live_metrics, "SELECT event_type, arg_max(value, (ts, event_id)) AS latest, max(event_id) AS last_id FROM events GROUP BY event_type"),
     "activity_sessions": (activity_sessions, "WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, true)::BIGINT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY ALL"),
     "day_dividers": (day_dividers, "SELECT user_id, count(*) AS n_dividers FROM (SELECT user_id, coalesce(ts::DATE <> lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS new FROM events) WHERE new GROUP BY user_id"),
     "daily_counts": (daily_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
+    "file_types": (file_types, f"SELECT page_id, CASE {NAMED} ELSE 'unknown' END AS type FROM (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS e FROM pages)"),
+    "hub_links": (
+        hub_links,
+        f"SELECT doc_id, {PARTS} FROM (SELECT doc_id, 'hf://' || source || '/' || lang || CASE WHEN doc_id % 2 = 0 THEN ':v' || doc_id ELSE '' END || '/dir/' || doc_id || '.bin' AS link FROM documents)",
+    ),
 }
