@@ -29,7 +29,7 @@ from .common import RunHashes, SlotTable, discard, materialize, table
 
 DEPTH, END = 6, 255
 #: Bytes of text of a group and for a bucket, bytes taken at once, grams held by a group before it sends them.
-GROUP_BYTES, BUCKET_BYTES, CHUNK, FLUSH = 64 << 20, 12 << 20, 1 << 20, 4_000_000
+GROUP_BYTES, BUCKET_BYTES, CHUNK, FLUSH = 32 << 20, 12 << 20, 1 << 20, 4_000_000
 #: Key of the word that ends each text.
 END_WORD = 2
 
