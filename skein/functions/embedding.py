@@ -16,16 +16,24 @@ LOW_ENERGY = 1e-4
 def raw_fallback(text: Column, dim: int = DIMENSION) -> Column:
     """The first 256 code points of the lower-cased text, its length, its words and whether it has digits, not yet scaled."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    n = F.char_length(low)
+    known = F.struct(
+        F.substring(low, 1, 256).alias("head"),
+        F.char_length(low).alias("n"),
+        (F.least(word_count(text), F.lit(100)) / 100.0).alias("words"),
+        F.when(low.rlike(r"\p{Nd}"), 1.0).otherwise(-1.0).alias("digits"),
+    )
+
+    def vector(x: Column) -> Column:
+        def place(i: Column) -> Column:
+            code = F.when((i < 256) & (i < x["n"]), F.pmod(code_point(F.substring(x["head"], i + 1, F.lit(1))), F.lit(256)) / 128.0 - 1.0)
+            length = F.when(i == AT_LENGTH, F.least(x["n"], F.lit(1000)) / 1000.0)
+            rest = F.when(i == AT_WORDS, x["words"]).when(i == AT_DIGITS, x["digits"]).otherwise(0.0)
+            return F.coalesce(code, length, rest)
 
-    def place(i: Column) -> Column:
-        code = F.when((i < 256) & (i < n), F.pmod(code_point(F.substring(low, i + 1, F.lit(1))), F.lit(256)) / 128.0 - 1.0)
-        length = F.when(i == AT_LENGTH, F.least(n, F.lit(1000)) / 1000.0)
-        words = F.when(i == AT_WORDS, F.least(word_count(text), F.lit(100)) / 100.0)
-        digits = F.when(i == AT_DIGITS, F.when(low.rlike(r"\p{Nd}"), 1.0).otherwise(-1.0))
-        return F.coalesce(code, length, words, digits, F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place)
+    # a transform of one element computes the text's features once, not for each place
+    return F.get(F.transform(F.array(known), vector), F.lit(0))
 
 
 def code_point(ch: Column) -> Column:
@@ -34,8 +42,12 @@ def code_point(ch: Column) -> Column:
 
 def scaled(vector: Column) -> Column:
     """The vector at length one; a zero vector stays."""
-    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(vector, lambda x: F.when(size > 0, x / size).otherwise(x))
+
+    def one(v: Column) -> Column:
+        size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.get(F.transform(F.array(size), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))), F.lit(0))
+
+    return F.get(F.transform(F.array(vector), one), F.lit(0))
 
 
 def problem(vector: Column, dim: int) -> Column:
