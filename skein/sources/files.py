@@ -29,11 +29,46 @@ def detect_type(path: Column) -> Column:
     return out
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, type, text of whole files: UTF-8, or Latin-1 where the bytes are not UTF-8; files without text are left out."""
+#: What can be wrong with a file.
+ERRORS = ("empty", "unsupported_format", "too_large", "no_extractor")
+#: Code points above which a text is only marked, and below which, too.
+LONG, SHORT = 10_000_000, 50
+#: Extractors of types that need a library: type -> Column of the content. None is installed; a session may add its own.
+EXTRACTORS: dict = {}
+
+
+def dispatch(spark: SparkSession, path: str) -> DataFrame:
+    """path, type, text, error, warning of whole files, none left out.
+
+    UTF-8, or Latin-1 where the bytes of a text, code or table are not UTF-8; an unknown type must be UTF-8. Markup packages
+    give their text without tags, rich text its plain text, tables their rows as lines. Types with an extractor of the
+    session go through it, others of no text have the error no_extractor."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
-    return raw.select("path", detect_type(F.col("path")).alias("type"), F.trim(text).alias("text")).filter("text <> ''")
+    kind = detect_type(F.col("path"))
+    utf = F.try_validate_utf8(F.col("content").cast("string"))
+    either = F.coalesce(utf, F.decode("content", "ISO-8859-1"))
+    text = F.when(kind.isin("text", "markdown", "code"), either).when(kind == "csv", table_text(either))
+    text = text.when(kind == "rtf", rich_text(either)).when(kind == "unknown", utf)
+    for name, extract in EXTRACTORS.items():
+        text = text.when(kind == name, extract(F.col("content")))
+    rows = raw.select("path", kind.alias("type"), F.trim(text, F.lit(" \n\t\r")).alias("text"))
+    n = F.char_length("text")
+    needs = ~F.col("type").isin("text", "markdown", "code", "csv", "rtf", "unknown", *EXTRACTORS)
+    error = F.when(needs, "no_extractor").when(F.col("text").isNull(), "unsupported_format").when(F.col("text") == "", "empty")
+    warning = F.when(n < SHORT, "short").when(n > LONG, "too_large")
+    return rows.withColumn("error", error).withColumn("warning", F.when(error.isNull(), warning))
+
+
+def rich_text(text: Column) -> Column:
+    """Rich text without groups of settings, control words and braces; paragraphs end lines."""
+    bare = F.regexp_replace(text, r"\\par[d]?\b ?", "\n")
+    bare = F.regexp_replace(bare, r"\{\\(\*|fonttbl|colortbl|stylesheet|info)[^{}]*(\{[^{}]*\}[^{}]*)*\}", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\\[a-z]+-?[0-9]* ?|\\[^a-z]", ""), r"[{}]", ""))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """path, type, text of the files without error."""
+    return dispatch(spark, path).filter("error IS NULL").select("path", "type", "text")
 
 
 def table_text(text: Column) -> Column:
@@ -51,5 +86,16 @@ def write_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_vectors(spark: SparkSession, path: str, schema: str = "vec_id long, embedding array<float>, label int") -> DataFrame:
-    """The store written by write_vectors; the schema is given, so no pass infers it. Broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """The whole lines of the store written by write_vectors; the schema is given, so no pass infers it. Others: rejects()."""
+    return lines(spark, path, schema).filter("r._corrupt IS NULL").select("r.*").drop("_corrupt")
+
+
+def lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """value, r: each line and what it holds; r._corrupt is the line where it is broken."""
+    read = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).filter("value <> ''").select("value", read.alias("r"))
+
+
+def rejects(spark: SparkSession, path: str, schema: str = "vec_id long, embedding array<float>, label int") -> DataFrame:
+    """line: the broken lines of a store."""
+    return lines(spark, path, schema).filter("r._corrupt IS NOT NULL").select(F.col("value").alias("line"))

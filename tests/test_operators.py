@@ -80,9 +80,17 @@ def test_files_and_vectors(spark, tmp_path):
     (tmp_path / "in" / "c.txt").write_bytes(b"  ")
     got = {r.path.rsplit("/", 1)[1]: (r.type, r.text) for r in files.read_texts(spark, str(tmp_path / "in")).collect()}
     assert got == {"a.md": ("markdown", "é text"), "b.RS": ("code", "é")}
+    (tmp_path / "in" / "d.png").write_bytes(b"\x89PNG")
+    (tmp_path / "in" / "e.rtf").write_bytes(rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Some \b bold\b0  text\par}")
+    (tmp_path / "in" / "f.bin").write_bytes(b"\xff\xfe\x00")
+    every = {r.path.rsplit("/", 1)[1]: (r.error, r.warning) for r in files.dispatch(spark, str(tmp_path / "in")).collect()}
+    assert every == {"a.md": (None, "short"), "b.RS": (None, "short"), "c.txt": ("empty", None), "d.png": ("no_extractor", None), "e.rtf": (None, "short"), "f.bin": ("unsupported_format", None)}
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "in")).filter("path LIKE '%rtf'").collect()] == ["Some bold text"]
     v = spark.createDataFrame([(1, [0.5, 1.0], 2), (2, None, None)], "vec_id long, embedding array<float>, label int")
     files.write_vectors(v, str(tmp_path / "v"))
     assert sorted(files.read_vectors(spark, str(tmp_path / "v")).collect()) == sorted(v.collect())
+    (tmp_path / "v" / "part-broken.json").write_text('{"vec_id": 3, "embedding": [1.0\n')
+    assert files.read_vectors(spark, str(tmp_path / "v")).count() == 2 and files.rejects(spark, str(tmp_path / "v")).count() == 1
     t = spark.createDataFrame([("a,b\n1, 2\n3,4",), ("x\ty\n1,5\t2\n",)], "t string").select(files.table_text(F.col("t"))).collect()
     assert [r[0] for r in t] == ["Table with columns: a, b\n\nRow 1: a: 1 | b: 2\nRow 2: a: 3 | b: 4", "Table with columns: x, y\n\nRow 1: x: 1,5 | y: 2"]
 
