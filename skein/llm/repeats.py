@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, table
 
 LENGTH, K, HALF = 50, 24, 32
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 8 << 20
 #: Bytes hashed at once inside a group.
 BLOCK = 1 << 20
 BASE = 0x9E3779B97F4A7C15
