@@ -28,3 +28,65 @@ def kmeans(vectors: DataFrame, first: list[tuple[int, list[float]]], iterations:
             new.setdefault(r["cluster"], {})[r["place"]] = r["mean"]
         centroids |= {c: [v[i] for i in sorted(v)] for c, v in new.items()}
     return nearest(vectors, sorted(centroids.items())).select("vec_id", "cluster")
+
+
+def same_size(vectors: DataFrame, dim: int) -> DataFrame:
+    """The rows (vec_id, embedding) of that dimension."""
+    return vectors.select("vec_id", "embedding").filter(F.size("embedding") == dim)
+
+
+def moments(vectors: DataFrame, dim: int):
+    """Number, mean and covariance of the vectors: each task sums its rows, dim * (dim + 1) numbers a task come back."""
+    import numpy as np
+
+    def run(batches):
+        import pandas as pd
+
+        n, total, gram = 0, np.zeros(dim), np.zeros((dim, dim))
+        for b in batches:
+            if len(b):
+                x = np.stack(b["embedding"].to_numpy()).astype(float)
+                n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
+        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.ravel().tolist()]})
+
+    parts = same_size(vectors, dim).select("embedding").mapInPandas(run, "n long, total array<double>, gram array<double>").toPandas()
+    n = int(parts["n"].sum())
+    mean = np.sum([np.array(t) for t in parts["total"]], axis=0) / max(n, 1)
+    gram = np.sum([np.array(g) for g in parts["gram"]], axis=0).reshape(dim, dim)
+    return n, mean, gram / max(n, 1) - np.outer(mean, mean)
+
+
+def projected(vectors: DataFrame, mean, axes) -> DataFrame:
+    """vec_id, x, y, z of the centred vectors along three axes."""
+    import numpy as np
+
+    dim = len(mean)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            if len(b):
+                p = (np.stack(b["embedding"].to_numpy()).astype(float) - mean) @ axes.T
+                yield pd.DataFrame({"vec_id": b["vec_id"], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+
+    return same_size(vectors, dim).mapInPandas(run, "vec_id long, x double, y double, z double")
+
+
+def pca3(vectors: DataFrame, dim: int) -> DataFrame:
+    """vec_id, x, y, z along the three axes of largest variance; the first value of an axis that is not zero is positive."""
+    import numpy as np
+
+    _, mean, cov = moments(vectors, dim)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :3].T
+    axes = axes * np.array([np.sign(a[np.flatnonzero(np.abs(a) > 1e-12)[0]]) for a in axes])[:, None]
+    return projected(vectors, mean, axes)
+
+
+def random_projection3(vectors: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """vec_id, x, y, z along three orthonormal axes made from seeded normal numbers."""
+    import numpy as np
+
+    _, mean, _ = moments(vectors, dim)
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, 3)))
+    return projected(vectors, mean, (q * np.sign(np.diag(r))).T)

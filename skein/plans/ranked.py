@@ -126,6 +126,14 @@ def kmeans_fixed(spark, d):
     return C.kmeans(table(spark, d, "embeddings"), first_three(spark, d)).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def pca3(spark, d):
+    return C.pca3(table(spark, d, "embeddings"), 64)
+
+
+def random_projection3(spark, d):
+    return C.random_projection3(table(spark, d, "embeddings"), 64)
+
+
 def legend_counts(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
 
@@ -242,5 +250,7 @@ SELECT query_id, round(0.5::DOUBLE * least(top / 0.8::DOUBLE, 1) + 0.2::DOUBLE *
     "centroid_mean": (centroid_mean, "SELECT label, place - 1 AS place, round(avg(v), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS place FROM embeddings) GROUP BY ALL"),
     "assign_nearest": (assign_nearest, "WITH p AS (SELECT a.vec_id, c.vec_id AS cluster, round(power(list_distance(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2), 9) AS d FROM embeddings a, embeddings c WHERE c.vec_id < 3) SELECT vec_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS n FROM p) WHERE n = 1"),
     "kmeans_fixed": (kmeans_fixed, None),
+    "pca3": (pca3, None),
+    "random_projection3": (random_projection3, None),
     "legend_counts": (legend_counts, "SELECT label, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM embeddings GROUP BY label"),
 }

@@ -73,6 +73,18 @@ def test_kmeans_equals_numpy(spark):
     assert got == dict(enumerate(((x[:, None] - c) ** 2).sum(2).argmin(1).tolist()))
 
 
+def test_projections_equal_numpy(spark):
+    x = np.random.default_rng(5).normal(size=(80, 6)) * [5, 3, 2, 1, 0.5, 0.1]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, [1.0])], "vec_id long, embedding array<double>")
+    c = x - x.mean(0)
+    want = np.linalg.svd(c, full_matrices=False)[0][:, :3] * np.linalg.svd(c, full_matrices=False)[1][:3]
+    got = np.array([[r.x, r.y, r.z] for r in clustering.pca3(v, 6).orderBy("vec_id").collect()])
+    assert got.shape == (80, 3) and np.allclose(np.abs(got), np.abs(want))
+    r = np.array([[r.x, r.y, r.z] for r in clustering.random_projection3(v, 6).orderBy("vec_id").collect()])
+    axes = np.linalg.lstsq(c, r, rcond=None)[0]
+    assert np.allclose(axes.T @ axes, np.eye(3)) and np.allclose(c @ axes, r)
+
+
 def test_files_and_vectors(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.md").write_bytes("é text ".encode())
