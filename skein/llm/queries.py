@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontamination, html_text, media, minhash, packing, repeats, secrets, sharding, toxicity
+from . import context_tree, decontamination, html_text, interaction, media, minhash, packing, repeats, secrets, sharding, sort_means, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_html": html_text.op8_html,
         "op9_packing": packing.op9_packing,
         "op10_suffix": repeats.op10_suffix,
+        "op11_warc": warc.op11_warc,
+        "op12_interaction": interaction.op12_interaction,
+        "op13_sort_means": sort_means.op13_sort_means,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.OP4_SQL}
+    return {"op4_sharding": sharding.OP4_SQL, "op11_warc": warc.OP11_SQL, "op12_interaction": interaction.OP12_SQL, "op13_sort_means": sort_means.sql()}
