@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         path = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if not path:
         path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
@@ -40,42 +47,89 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     files of the writing query are deleted when it has ended: the table stands for them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
+    with clean_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._skein_path = path
-    _WRITTEN.append(path)
+    if (mine := _SCRATCH.get()) is not None:
+        mine.append(path)
     return out
 
 
-#: Tables of this driver that nothing has discarded yet.
-_WRITTEN: list[str] = []
+#: Writes that hold CLEAN_UP on, by session, and what it was before the first of them.
+_HOLDING: dict[int, list] = {}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def clean_up(spark: SparkSession) -> Iterator[None]:
+    """CLEAN_UP is on inside; it goes back when the last of several threads has left."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        held = _HOLDING.setdefault(key, [0, spark.conf.get(CLEAN_UP, "false")])
+        held[0] += 1
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.set(CLEAN_UP, _HOLDING.pop(key)[1])
+
+
+#: Tables written inside the innermost scratch() of this thread.
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What this thread materializes inside is deleted at the end, but for the frames put in the list it gives. Other threads'
+    tables are not touched."""
+    made: list[str] = []
+    kept: list = []
+    token = _SCRATCH.set(made)
+    try:
+        yield kept
+    finally:
+        _SCRATCH.reset(token)
+        stay = {getattr(df, "_skein_path", None) for df in kept}
+        outer = _SCRATCH.get()
+        for path in made:
+            if path not in stay:
+                delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
+    if path in (mine := _SCRATCH.get() or []):
+        mine.remove(path)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have; Spark takes names of other case for the same."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
 
-def discard_but(spark: SparkSession, before: list[str], *frames: DataFrame) -> None:
-    """Delete the tables written since `before` (a copy of written()) but those of frames."""
-    kept = {*before, *(getattr(df, "_skein_path", None) for df in frames)}
-    for path in [p for p in _WRITTEN if p not in kept]:
-        delete(spark, path)
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def written() -> list[str]:
-    return list(_WRITTEN)
+def as_row(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns])
 
 
-def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
-    """df with a number for each row, written: a later scan may split the rows elsewhere, the written number stays."""
+def numbered(df: DataFrame, label: str, name: str) -> DataFrame:
+    """df with a number for each row in the new column name, written: a later scan may split the rows elsewhere, the written
+    number stays."""
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 

@@ -5,7 +5,9 @@ each step up; a container's points are discounted by its link density; the best
 with its siblings, and those of the containers around it, that are neither side matters by name nor mostly links.
 
 A name (class, id or role) that sounds like a side matter only lowers the points below it. The subtree goes if it also
-has little prose or many links, and holds no article, no main and not the best container.
+has little prose or many links, and holds no article, no main and not the best container. A name that means one thing
+(reader comments, adverts, notices) takes its subtree away first, however long it is, unless the page's only article or
+main is inside or nothing else on the page is prose.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody"
 UNLIKELY = re.compile(r"ads?|advert(?:s|ising|isements?)?|banners?|breadcrumbs?|comments?|cookies?|consent|disqus|footer|menu|nav(?:bar|igation|s)?|newsletter|notice|pagination|popup|promo(?:s|ted|tions?)?|related|share|sharing|sidebar|social|sponsor(?:s|ed)?|subscribe|toolbar|widgets?", re.I)
 #: Words that say nothing beside an unlikely one: page-footer, related-links.
 NEUTRAL = re.compile(r"site|page|main|top|bottom|left|right|primary|secondary|global|box|bar|list|links?|posts?|articles?|wrapper|wrap|container|block|section|area|inner|outer|items?|buttons?|icons?|unit|slot|\d+", re.I)
+#: Words whose subtrees are never part of an article, and words beside them that change nothing.
+FOREIGN = re.compile(r"ads?|advert(?:s|ising|isements?)?|comments?|cookies?|consent|disqus|newsletter|notices?|sponsor(?:s|ed)?", re.I)
+OF_FOREIGN = re.compile(r"user|readers?|visitors?|thread|body|content|text|meta|author|reply|replies|respond|responses?|banner|sense|message|signup|form|view|count|header|title", re.I)
 FAINT, LITTLE_PROSE, MANY_LINKS = 0.25, 80, 0.5
 NEVER_UNLIKELY = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "code", "blockquote", "td", "th"}
 
@@ -40,10 +45,22 @@ def unlikely(marks: str) -> bool:
     return False
 
 
+def foreign(marks: str) -> bool:
+    """Whether one of the names, taken whole, has words that mean comments, adverts or notices and else only what goes with them."""
+    for name in marks.split():
+        parts = [w for w in re.split("[-_]+", name) if w]
+        said = [w for w in parts if not NEUTRAL.fullmatch(w) and not OF_FOREIGN.fullmatch(w)]
+        if said and all(FOREIGN.fullmatch(w) for w in said):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "named", "faint")
+    __slots__ = ("tag", "parent", "items", "dropped", "points", "named", "faint", "foreign", "code")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, named: bool = False, foreign: bool = False):
+        self.code = tag in ("pre", "code") or parent is not None and parent.code  # names there colour the code
+        named, self.foreign = named and not self.code, foreign and not self.code
         self.tag, self.parent, self.items, self.dropped, self.points = tag, parent, [], dropped, 0.0
         self.named, self.faint = named, named or parent is not None and parent.faint
 
@@ -63,7 +80,7 @@ class Tree(HTMLParser):
             self.end_open(CLOSED_BY[tag], SCOPE[tag])
         marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        node = Node(tag, self.at, tag in DROPPED or hidden, tag not in NEVER_UNLIKELY and unlikely(marks))
+        node = Node(tag, self.at, tag in DROPPED or hidden, tag not in NEVER_UNLIKELY and unlikely(marks), tag in BLOCK - {"html", "body", "main"} and foreign(marks))
         if tag == "header":  # a page's header goes, an article's own stays
             up = self.at
             while up and up.tag not in ("article", "main"):
@@ -182,6 +199,33 @@ def weak(nodes: list[Node], sizes: dict, best: Node) -> list[Node]:
     return [x for x in nodes if x.named and id(x) not in holds and (sizes[id(x)][0] - sizes[id(x)][1] < LITTLE_PROSE or sizes[id(x)][1] > MANY_LINKS * sizes[id(x)][0])]
 
 
+def without_foreign(top: Node) -> None:
+    """Drops the outermost nodes of foreign names: all of them where an article or main stands outside, else those that hold
+    none. They stay if what is left has under LITTLE_PROSE characters outside links and they have more."""
+    outside, outer, inner = False, [], set()
+    for what, x in walk(top):
+        if what != "open":
+            continue
+        up = x.parent
+        if up is not None and id(up) in inner:
+            inner.add(id(x))
+        elif x.foreign:
+            inner.add(id(x))
+            outer.append(x)
+        elif x.tag in ("article", "main"):
+            outside = True
+    gone = outer if outside else [x for x in outer if not any(y.tag in ("article", "main") for what, y in walk(x) if what == "open")]
+    if not gone:
+        return
+    prose = lambda x: (n := measure(x)[id(x)])[0] - n[1]
+    held = sum(prose(x) for x in gone)
+    for x in gone:
+        x.dropped = True
+    if not outside and prose(top) < min(LITTLE_PROSE, held):
+        for x in gone:
+            x.dropped = False
+
+
 def main_text(html: str | None) -> str:
     """The main text: one line for each block, white space inside it made single spaces."""
     tree, html = Tree(), html or ""
@@ -189,6 +233,7 @@ def main_text(html: str | None) -> str:
         html = html[:cut]  # a comment without end goes to the end of the page
     tree.feed(html)
     HTMLParser.close(tree)
+    without_foreign(tree.top)
     sizes, nodes = scored(tree.top)
     density = lambda x: sizes[id(x)][1] / max(1, sizes[id(x)][0])
     score = lambda x: x.points * (1 - density(x)) * (1.5 if x.tag in ("article", "main") else 1) * (FAINT if x.faint else 1)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, discard, materialize, numbered, table, word_bytes
+from .common import WordHashes, discard, free_name, materialize, numbered, quoted, table, word_bytes
 
 ROWS, BANDS, WORDS, PERCENT = 5, 40, 5, 75
 #: A pair is checked on its sets unless its signatures agree in less than this share of minima, five
@@ -292,12 +292,14 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with one row of each group of near copies: the one with the smallest doc_id, rows without id
     last. Rows are told apart by a number, so repeated and null doc_ids lose no text that has no copy; rows without words stay."""
-    rows = numbered(docs, "numbered")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
-    found = found.select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
-    least = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(order)
-    return rows.join(least.select(F.col("least._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, "numbered", row)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(row), "component_id")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("least")
+    least = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(order)
+    kept = least.select(F.col("least")[row].alias(row))
+    return rows.join(kept, row, "left_semi").select(*[quoted(c) for c in docs.columns])
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

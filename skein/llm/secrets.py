@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import as_row, materialize, quoted, table
 
 #: kind, pattern, group whose length counts, least length; the order is that of kinds at one start
 PATTERNS = (
@@ -180,7 +180,7 @@ def scan(docs: DataFrame) -> DataFrame:
     since docs' own are inside row; an empty table gives no rows."""
     text = F.coalesce(docs["text"], F.lit(""))
     kinds = [as_kind(matches(text, p, g, n), k) for k, (_, p, g, n) in enumerate(PATTERNS)]
-    first = docs.select(F.struct(*docs.columns).alias("row"), F.array_sort(F.concat(*kinds)).alias("base"), matches(text, CANDIDATE, 0, 20).alias("cand"))
+    first = docs.select(as_row(docs).alias("row"), F.array_sort(F.concat(*kinds)).alias("base"), matches(text, CANDIDATE, 0, 20).alias("cand"))
     free = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     more = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), judged(c["token"]).alias("judged")))
     found = materialize(first.select("row", "base", more.alias("more")), "secrets")
@@ -216,4 +216,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when((x["start"] >= acc["at"]), apart).otherwise(acc["parts"]).alias("parts"))
 
     clean = F.aggregate("spans", first, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    return out.select(*[F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[F.when(F.size("spans") > 0, clean).otherwise(text).alias(c) if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_row, table
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 8, 6, (1, 2, 3)
 #: The model is fitted on so many labelled rows of each class at most, chosen by a hash, of so many code points at most.
@@ -169,7 +169,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     """All rows and columns of docs as struct row, with score (0 to 1).
 
     Defined results: null and empty texts get the score of a text without words; repeated rows equal scores; the score
-    depends on the text alone."""
+    depends on the text alone; an empty table gives no rows; docs' own columns are inside row, so that no name can clash."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 6 * BUCKETS * FILTERS numbers
 
     @F.pandas_udf("double")
@@ -178,7 +178,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         for texts in batches:
             yield pd.Series([score_text(m, buckets, t) for t in texts], dtype="float64")
 
-    return docs.select(F.struct(*docs.columns).alias("row"), score(docs["text"]).alias("score"))
+    return docs.select(as_row(docs).alias("row"), score(docs["text"]).alias("score"))
 
 
 def thresholds(counts: list[tuple[str, int, int, int]], start: float = THRESHOLD) -> dict[str, float]:

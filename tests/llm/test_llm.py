@@ -345,7 +345,7 @@ def test_html_names_alone_drop_nothing():
     page = f"<div class='site-content has-sidebar'><article><h1>Title</h1><p>{prose}</p><h2 id='market-share'>Share of the market</h2><section id='related-work'><p>Earlier, shorter.</p></section><div class='naval-battles social-history'>At sea.</div></article></div>"
     assert html_text.main_text(page) == f"Title\n{prose}\nShare of the market\nEarlier, shorter.\nAt sea."
     assert html_text.main_text(f"<div class='sidebar'><article><p>{prose}</p></article></div>") == prose
-    assert html_text.main_text(f"<article><p>{prose}</p><section class='notice'><p>{prose}</p></section><div class='social-share'><a href=x>Send</a></div><ul class='related-links'><li><a href=y>{prose}</a></ul></article>") == f"{prose}\n{prose}"
+    assert html_text.main_text(f"<article><p>{prose}</p><section class='notice'><p>{prose}</p></section><div class='social-share'><a href=x>Send</a></div><ul class='related-links'><li><a href=y>{prose}</a></ul></article>") == prose
     assert html_text.main_text("<div class='banner'><p>All there is.</p></div>") == "All there is."
     assert html_text.main_text("<div class='menu'><span>Only this</span></div>") == "Only this"
 
