@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import discard_but, materialize, table, written
+from skein.llm.common import delete, materialize, scratch, table
 from skein.llm.decontamination import drop_contaminated
 from skein.llm.minhash import drop_near_duplicates
 from skein.llm.packing import pack_documents
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's table, and what it wrote on the way, goes when the next one has been written."""
-    docs, before = table(spark, sf_dir, "documents"), written()
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        discard_but(spark, before, docs)
+        before = getattr(docs, "_skein_path", None)
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs)
+        if before:
+            delete(spark, before)
     return docs
