@@ -22,8 +22,8 @@ from .common import table
 FILTERS, COPY = "ABCDE", 16
 MASKS = 1 << len(FILTERS)
 CAPITALS, TAIL_BYTES, SIGNS = bytes(range(65, 91)), bytes(range(0x80, 0xC0)), re.compile(rb"[#$%&*|]")
-#: Bytes of texts that a task's chains hold before it sends them; a shuffle partition for each quarter of a task's input.
-HELD, SPLIT = 32 << 20, 4
+#: Bytes of texts that a task's chains hold before it sends them, and bytes of texts for each shuffle partition.
+HELD, PARTITION = 32 << 20, 16 << 20
 
 
 def failures(text: bytes) -> int:
@@ -101,7 +101,9 @@ def masked(docs: DataFrame) -> DataFrame:
     """doc_id, part, mask, n: the rows of docs (doc_id, text, lang) by the filters they fail."""
     empty = F.lit("")
     rows = docs.select("doc_id", F.coalesce("text", empty).cast("binary").alias("text"), F.coalesce("lang", empty).alias("part")).rdd
-    met = rows.mapPartitions(meet).partitionBy(max(1, SPLIT * rows.getNumPartitions()), lambda mark: mark)
+    # a partition's chains fit a worker whatever the input's splits are: the texts' bytes say how many there must be
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    met = rows.mapPartitions(meet).partitionBy(max(rows.getNumPartitions(), -(-size // PARTITION), 1), lambda mark: mark)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part string, mask int, n long"
     return docs.sparkSession.createDataFrame(met.mapPartitions(settle), schema, verifySchema=False)
 
