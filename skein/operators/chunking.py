@@ -6,6 +6,7 @@ batch function; texts are independent and nothing is shuffled."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 #: Words of a chunk, words of a text below which it stays whole, words of overlap.
 TARGET, LEAST, OVERLAP = 400, 100, 75
-#: How far a sentence end may be, the rest that is too short for a chunk, the most chunks of a text.
+#: How far a sentence end may be, the rest that is too short for a chunk, the most chunks of a text. Repetitive
+#: texts reach the last one (their overlap is found early, so the cursor creeps); `most=None` has no such end.
 SNAP, REST, MOST = 100, 10, 5000
 #: Headings, tried on trimmed lines.
 HEADINGS = (r"^[A-Z][A-Z\s]+:?\s*$", r"^\d+\.\s+[A-Z].*$", r"^[IVX]+\.\s+[A-Z].*$", r"^#{1,3}\s+.*$")
-WORD, TOKEN = re.compile("[^ ]+"), re.compile(r"\w+")
+WORD, TOKEN, DIGIT = re.compile("[^ ]+"), re.compile(r"\w+"), re.compile(r"\d")
 
 
 def sentence_end(text: str, near: int, within: int = SNAP) -> int | None:
@@ -47,12 +49,12 @@ def next_start(text: str, start: int, end: int, overlap: int = OVERLAP) -> int:
     return end
 
 
-def spans(text: str, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+def spans(text: str, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP, most: int | None = MOST) -> list[tuple[int, int]]:
     """Start and end of each chunk of a text; a text of fewer than `least` words is one chunk."""
     if len(TOKEN.findall(text)) < least:
         return [(0, len(text))] if text else []
     out, at = [], 0
-    while at < len(text) and len(out) < MOST:
+    while at < len(text) and (most is None or len(out) < most):
         if len(text) - at < REST:
             if TOKEN.search(text, at):
                 out.append((at, len(text)))
@@ -78,39 +80,73 @@ def sections(text: str) -> list[tuple[str, int, int]]:
 
 SCHEMA = (
     "doc_id long, chunk_index int, start_position int, end_position int, content string, word_count int, "
-    "character_count int, section_title string, semantic_density double, has_numeric boolean, has_list boolean"
+    "character_count int, truncated boolean, section_title string, distinct_words int, has_numeric boolean, has_list boolean, keywords array<string>"
 )
+#: Columns that need more than the cut itself.
+FEATURES = ("section_title", "distinct_words", "has_numeric", "has_list", "keywords")
+#: Keywords of a chunk.
+KEYWORDS = 5
 
 
-def chunk_rows(doc_id, text: str, target: int, least: int, overlap: int) -> Iterator[tuple]:
-    cut, heads = spans(text, target, least, overlap), None
+def keywords(part: str, stop: frozenset) -> list[str]:
+    """The most frequent words of three or more letters that are not in stop, ties by the word."""
+    n = Counter(w for w in TOKEN.findall(part.lower()) if len(w) > 2 and w not in stop)
+    return sorted(n, key=lambda w: (-n[w], w))[:KEYWORDS]
+
+
+def chunk_rows(doc_id, text: str, target: int, least: int, overlap: int, most: int | None, features: bool, stop: frozenset) -> Iterator[tuple]:
+    cut = spans(text, target, least, overlap, most)
     single = len(cut) == 1 and cut[0] == (0, len(text)) and len(TOKEN.findall(text)) < least
+    heads = sections(text) if features and cut and not single else []
+    # what is left behind the last chunk: more than the rest that is dropped anyhow
+    lost = bool(cut) and len(text) - cut[-1][1] >= REST
     for i, (a, b) in enumerate(cut):
         part = text[a:b]
-        n = len(TOKEN.findall(part))
-        if single:
-            marks = 0.5, None, "•" in part or re.match(r"\d+\.", part) is not None
+        row = doc_id, i, a, b, part, len(TOKEN.findall(part)), b - a, lost
+        if not features:
+            yield row
+        elif single:
+            yield *row, None, None, DIGIT.search(part) is not None, "•" in part or re.match(r"\d+\.", part) is not None, keywords(part, stop)
         else:
-            heads = sections(text) if heads is None else heads
-            density = len({w for w in part.lower().split(" ") if w}) / max(n, 1)
-            marks = round(density, 6), next((t for t, x, y in heads if x <= a < y), None), any(c in part for c in "•-*")
-        yield doc_id, i, a, b, part, n, len(part), marks[1], marks[0], any(c.isdecimal() for c in part), marks[2]
+            distinct = len({w for w in part.lower().split(" ") if w})
+            title = next((t for t, x, y in heads if x <= a < y), None)
+            yield *row, title, distinct, DIGIT.search(part) is not None, any(c in part for c in "•-*"), keywords(part, stop)
 
 
-def chunks(docs: DataFrame, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP) -> DataFrame:
-    """The chunks of docs (doc_id, text) with their features. A null or empty text has none."""
+def chunks(docs: DataFrame, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP, most: int | None = MOST, features: bool = True, stop: frozenset = frozenset()) -> DataFrame:
+    """The chunks of docs (doc_id, text), with their features if asked for (a batch function's columns can't be pruned).
+
+    A null or empty text has none. Of a text with more than `most` chunks the rest is left out and `truncated` says so on each
+    of its chunks; most=None covers every text. semantic_density is distinct words by words, 0.5 for a text that stays whole; keywords
+    are the chunk's most frequent words but for those of stop."""
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    made = [n for n in names if features or n not in FEATURES]
+    schema = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in made)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
         for b in batches:
             for at in range(0, len(b), 200):
                 part = zip(b["doc_id"].iloc[at : at + 200], b["text"].iloc[at : at + 200])
-                rows = [r for i, t in part for r in chunk_rows(i, t or "", target, least, overlap)]
-                yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+                rows = [r for i, t in part for r in chunk_rows(i, t or "", target, least, overlap, most, features, stop)]
+                yield pd.DataFrame(rows, columns=made)
+
+    out = docs.select("doc_id", "text").mapInPandas(run, schema)
+    if not features:
+        return out
+    ratio = F.round(F.col("distinct_words") / F.greatest(F.col("word_count"), F.lit(1)), 6)
+    return out.withColumn("semantic_density", F.coalesce(ratio, F.lit(0.5)))
+
+
+def chunk_coverage(docs: DataFrame, most: int | None = MOST, **sizes) -> DataFrame:
+    """doc_id, n_chunks, n_chars, covered, truncated for each row of docs: code points up to the end of the last chunk, and
+    whether `most` cut the text short."""
+    per = chunks(docs, most=most, features=False, **sizes).groupBy("doc_id")
+    per = per.agg(F.count("*").alias("n_chunks"), F.max("end_position").cast("long").alias("covered"), F.bool_or("truncated").alias("truncated"))
+    size = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    out = size.join(per, "doc_id", "left").fillna({"n_chunks": 0, "covered": 0, "truncated": False})
+    return out.select("doc_id", "n_chunks", "n_chars", "covered", "truncated")
 
 
 def paragraphs(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:

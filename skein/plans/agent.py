@@ -106,12 +106,17 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s, F.lit(" \n\t\r"))), lambda s: F.char_length(s) > 20)
 
 
-def importance(sentence: Column) -> Column:
+def thousandths(sentence: Column) -> Column:
+    """The importance of a sentence in whole thousandths: two for each character, 300 for a digit, 200 for a cue; 1000 at most."""
     cue = F.lit(False)
     for w in CUES:
         cue = cue | F.contains(F.lower(sentence), F.lit(w))
-    score = F.char_length(sentence) / 500.0 + F.when(sentence.rlike("[0-9]"), 0.3).otherwise(0.0) + F.when(cue, 0.2).otherwise(0.0)
-    return F.least(score, F.lit(1.0))
+    score = 2 * F.char_length(sentence) + F.when(sentence.rlike("[0-9]"), 300).otherwise(0) + F.when(cue, 200).otherwise(0)
+    return F.least(score, F.lit(1000)).cast("long")
+
+
+def importance(sentence: Column) -> Column:
+    return thousandths(sentence) / 1000.0
 
 
 def relevant_sentences(rows):
@@ -152,8 +157,10 @@ def sentence_rank(spark, d):
 
 
 def sentence_importance(spark, d):
+    """The mean over each document's sentences, in whole hundred thousandths, halves up."""
     s = table(spark, d, "documents").select("doc_id", F.explode(sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg(importance(F.col("s"))), 5).alias("importance"))
+    sums = s.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(thousandths(F.col("s"))).alias("total"))
+    return sums.select("doc_id", "n", (F.expr("(200 * total + n) div (2 * n)") / 100000.0).alias("importance"))
 
 
 def expand_query(spark, d):
@@ -259,7 +266,9 @@ def type_sql(q="question"):
 
 
 SENTENCES = r"list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[^.!?]+[.!?]*'), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13))), lambda s: length(s) > 20)"
-IMPORTANCE = "least(1.0::DOUBLE, length({0}) / 500.0::DOUBLE + CASE WHEN regexp_matches({0}, '[0-9]') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN " + " OR ".join(f"contains(lower({{0}}), '{c}')" for c in CUES) + " THEN 0.2::DOUBLE ELSE 0 END)"
+CUED = " OR ".join(f"contains(lower({{0}}), '{c}')" for c in CUES)
+THOUSANDTHS = f"least(1000, 2 * length({{0}}) + CASE WHEN regexp_matches({{0}}, '[0-9]') THEN 300 ELSE 0 END + CASE WHEN {CUED} THEN 200 ELSE 0 END)"
+IMPORTANCE = f"({THOUSANDTHS} / 1000.0::DOUBLE)"
 BONUS_SQL = " OR ".join(
     f"(type = '{name}' AND (" + " OR ".join([f"contains(sentence, '{c}')" for c in cues] + (["contains(lower(sentence), 'to ')"] if name == "instruction" else [])) + "))" for name, cues in BONUS.items()
 )
@@ -289,7 +298,8 @@ v AS (SELECT query_id, list_sort(list_distinct(CASE WHEN {TRIVIAL_SQL} THEN [que
     "reformulated": (reformulated, f"WITH {ASKED} SELECT query_id, array_to_string({FORMS}, chr(10)) AS statements FROM asked"),
     "sentence_importance": (
         sentence_importance,
-        f"WITH s AS (SELECT doc_id, unnest({SENTENCES.format('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n, round(avg({IMPORTANCE.format('s')}), 5) AS importance FROM s GROUP BY doc_id",
+        f"WITH s AS (SELECT doc_id, unnest({SENTENCES.format('text')}) AS s FROM documents) SELECT doc_id, count(*) AS n, "
+        f"((200 * sum({THOUSANDTHS.format('s')}) + count(*)) // (2 * count(*)))::BIGINT / 100000.0::DOUBLE AS importance FROM s GROUP BY doc_id",
     ),
     "sentence_rank": (sentence_rank, f"WITH {RELEVANT} SELECT query_id, type, rank, score, md5(sentence) AS md5 FROM rel"),
     "extractive_answer": (

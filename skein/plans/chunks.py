@@ -24,22 +24,30 @@ def docs(spark, d):
 
 
 def chunk_semantic(spark, d):
-    c = C.chunks(docs(spark, d))
+    c = C.chunks(docs(spark, d), features=False)
     whole = ["word_count", "character_count", "start_position", "end_position", "chunk_index"]
     return c.select("doc_id", *[F.col(x).cast("long").alias(x) for x in whole], F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 def chunk_metadata(spark, d):
-    c = C.chunks(docs(spark, d))
-    return c.select("doc_id", F.col("chunk_index").cast("long"), "semantic_density", "has_numeric", "has_list")
+    c = C.chunks(docs(spark, d), stop=frozenset(w for words in STOP_WORDS.values() for w in words))
+    words = F.array_join("keywords", ",").alias("keywords")
+    return c.select("doc_id", F.col("chunk_index").cast("long"), "semantic_density", "has_numeric", "has_list", "truncated", words)
+
+
+def chunk_coverage(spark, d):
+    """Every text whole: no last chunk."""
+    return C.chunk_coverage(docs(spark, d), most=None)
 
 
 def chunk_stats(spark, d):
+    """The mean density is that of whole millionths, so that it does not depend on the order of a sum."""
     c = C.chunks(docs(spark, d))
+    millionths = F.sum(F.round(F.col("semantic_density") * 1000000).cast("long"))
     return c.agg(
         F.count("*").alias("n_chunks"),
         F.floor(F.sum("word_count") / F.count("*")).alias("avg_words"),
-        F.round(F.avg("semantic_density"), 5).alias("avg_density"),
+        (F.floor(millionths / F.count("*")) / 1000000).alias("avg_density"),
         F.count_if("has_numeric").alias("with_numeric"),
         F.count_if("has_list").alias("with_list"),
     )
@@ -47,7 +55,7 @@ def chunk_stats(spark, d):
 
 def chunk_distribution(spark, d):
     """Characters a chunk by document, and the mean of the documents' means."""
-    per = C.chunks(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("character_count").alias("chars"))
+    per = C.chunks(docs(spark, d), features=False).groupBy("doc_id").agg(F.count("*").alias("n"), F.avg("character_count").alias("chars"))
     return per.agg(
         F.count("*").alias("n_docs"),
         F.round(F.avg("chars"), 4).alias("avg_chars"),
@@ -115,7 +123,7 @@ def chunk_diagnostics(spark, d):
     """Sections, topic boundaries, sentences, chunks and a warning for each document."""
     t = F.coalesce("text", F.lit(""))
     topics = sum(((F.char_length(t) - F.char_length(F.replace(t, F.lit(p), F.lit("")))) / len(p) for p in TOPIC_PHRASES), F.lit(0))
-    per = C.chunks(docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.avg("word_count").alias("w"))
+    per = C.chunks(docs(spark, d), features=False).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.avg("word_count").alias("w"))
     words = F.size(T.word_tokens(F.col("text")))
     base = docs(spark, d).select("doc_id", topics.cast("long").alias("n_topics"), T.sentence_count(F.col("text")).alias("n_sentences"), words.alias("n"))
     small = F.when(F.col("n") < C.LEAST, F.lit("Small document: produced single chunk"))
@@ -131,7 +139,7 @@ def chunk_diagnostics(spark, d):
 
 def range_join_pages(spark, d):
     """Chunks with the page of 2,000 characters that holds their first one, by a join of positions and ranges."""
-    c = C.chunks(docs(spark, d)).select("doc_id", "chunk_index", F.col("start_position").alias("position"))
+    c = C.chunks(docs(spark, d), features=False).select("doc_id", "chunk_index", F.col("start_position").alias("position"))
     pages = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / 2000).cast("int"))).alias("p")
     ranges = docs(spark, d).filter("text <> ''").select("doc_id", pages)
     ranges = ranges.select("doc_id", (F.col("p") * 2000).alias("low"), (F.col("p") * 2000 + 2000).alias("high"), (F.col("p") + 1).cast("long").alias("title"))
@@ -196,10 +204,26 @@ QUERIES = {
         CHUNKED + "SELECT doc_id, word_count, character_count, start_position::BIGINT AS start_position, end_position::BIGINT AS end_position, "
         "chunk_index::BIGINT AS chunk_index, md5(content) AS content_md5 FROM m",
     ),
-    "chunk_metadata": (chunk_metadata, CHUNKED + "SELECT doc_id, chunk_index::BIGINT AS chunk_index, semantic_density, has_numeric, has_list FROM m"),
+    "chunk_metadata": (
+        chunk_metadata,
+        CHUNKED + f""", kw AS (
+  SELECT doc_id, chunk_index, word, count(*) AS n FROM (SELECT doc_id, chunk_index, unnest({TOK.replace('text', 'content')}) AS word FROM m)
+  WHERE length(word) > 2 AND word NOT IN ({STOPS}) GROUP BY ALL
+), kr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY n DESC, word) AS r FROM kw),
+kl AS (SELECT doc_id, chunk_index, string_agg(word, ',' ORDER BY r) AS keywords FROM kr WHERE r <= 5 GROUP BY ALL),
+lo AS (SELECT m.*, any_value(length(d.text)) OVER (PARTITION BY m.doc_id) - max(end_position) OVER (PARTITION BY m.doc_id) >= 10 AS truncated FROM m JOIN documents d USING (doc_id))
+SELECT doc_id, chunk_index::BIGINT AS chunk_index, semantic_density, has_numeric, has_list, truncated, coalesce(keywords, '') AS keywords
+FROM lo LEFT JOIN kl USING (doc_id, chunk_index)""",
+    ),
+    "chunk_coverage": (
+        chunk_coverage,
+        CHUNKED.replace("AND idx < 4999", "") + "SELECT d.doc_id, count(m.doc_id) AS n_chunks, any_value(length(coalesce(d.text, ''))) AS n_chars, "
+        "coalesce(max(end_position), 0)::BIGINT AS covered, false AS truncated FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id",
+    ),
     "chunk_stats": (
         chunk_stats,
-        CHUNKED + "SELECT count(*) AS n_chunks, sum(word_count)::BIGINT // count(*) AS avg_words, round(avg(semantic_density), 5) AS avg_density, "
+        CHUNKED + "SELECT count(*) AS n_chunks, sum(word_count)::BIGINT // count(*) AS avg_words, "
+        "floor(sum(round(semantic_density * 1000000)::BIGINT)::DOUBLE / count(*)) / 1000000 AS avg_density, "
         "count(*) FILTER (has_numeric) AS with_numeric, count(*) FILTER (has_list) AS with_list FROM m",
     ),
     "chunk_distribution": (
