@@ -1,6 +1,6 @@
 """All registered queries: name -> (query, SQL or None)."""
 
-from skein.plans import agent, chunks, corpus, ledger, ranked
+from skein.plans import agent, chunks, corpus, flows, ledger, ranked
 from skein.plans.catalogue import CATALOGUE
 
-REGISTRY = CATALOGUE | ranked.QUERIES | corpus.QUERIES | chunks.QUERIES | agent.QUERIES | ledger.QUERIES
+REGISTRY = CATALOGUE | ranked.QUERIES | corpus.QUERIES | chunks.QUERIES | agent.QUERIES | ledger.QUERIES | flows.QUERIES
