@@ -78,10 +78,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     ids = sorted({r["query_id"] for r in terms})
     place = {q: i for i, q in enumerate(ids)}
     asked = spark.sparkContext.broadcast((number, ids, [(place[r["query_id"]], number[r["term"]], r["count"]) for r in terms]))
-    counted = docs.select("doc_id", "text").mapInPandas(term_counts(asked), "doc_id long, size long, term array<int>, tf array<int>").persist()
-    total = counted.agg(F.count("*").alias("n"), F.avg("size").alias("avg")).first()
-    df = {r["term"]: r["count"] for r in counted.select(F.explode("term").alias("term")).groupBy("term").count().collect()}
-    scored = counted.mapInPandas(bm25_scores(asked, total["n"], total["avg"] or 1.0, df, k, k1, b), "query_id long, doc_id long, score double")
+    counted = docs.select("doc_id", "text").mapInPandas(term_counts(asked), "doc_id long, size long, term array<int>, tf array<int>")
+    # one pass for all statistics: term -1 stands for the texts themselves
+    each = counted.select(F.explode(F.concat("term", F.array(F.lit(-1)))).alias("term"), "size").groupBy("term")
+    df = {r["term"]: r for r in each.agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}  # the queries' terms
+    total, df = df.get(-1), {t: r["n"] for t, r in df.items() if t >= 0}
+    n, average = (total["n"], total["size"] / total["n"] or 1.0) if total else (0, 1.0)
+    scored = counted.mapInPandas(bm25_scores(asked, n, average, df, k, k1, b), "query_id long, doc_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

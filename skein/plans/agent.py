@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from skein.plans.catalogue import KNN, hits, table
+from skein.plans.catalogue import KNN, found_texts, hits, table
 from skein.plans.chunks import STOP_WORDS
 from skein.plans.corpus import QUESTIONS
 
@@ -137,8 +137,9 @@ def relevant_sentences(rows):
 
 def contexts(spark, d):
     """Each question with the document that has its id (a convention of these tables)."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("content"))
-    return asked(spark, d).join(docs, "query_id", "left")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    q = asked(spark, d)
+    return found_texts(q.withColumn("id", F.col("query_id")), docs, q.count()).drop("id")
 
 
 def extractive_answer(spark, d):

@@ -26,13 +26,27 @@ def bm25_topk(spark, d):
     return R.bm25(table(spark, d, "documents"), q, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long"))
 
 
-def hits(spark, d, k):
+#: Ids that are broadcast to a table of texts: 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def found_texts(near, docs, most):
+    """near (id, ...) with the columns of docs (id, ...), null where docs has no such id; near has `most` rows at most.
+
+    docs is cut to the ids first. While they are few the ids are broadcast, so texts that nothing hit are not moved at all;
+    else both sides meet by a shuffle."""
+    ids = near.select("id").distinct()
+    cut = docs.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "id", "left_semi")
+    return near.join(cut, "id", "left")
+
+
+def hits(spark, d, k, content=True):
     """query_id, id, similarity, rank, query, content, source of each query's k nearest vectors; a vector's id names its
-    document (a convention of these tables)."""
+    document (a convention of these tables). Without content, texts are not read."""
     near = R.knn(table(spark, d, "embeddings"), query_vectors(spark, d), k).withColumnRenamed("vec_id", "id")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), *[F.col("text").alias("content")] * content, "source")
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return near.join(F.broadcast(q), "query_id").join(docs, "id", "left")
+    return found_texts(near.join(q, "query_id"), docs, k * q.count())
 
 
 def hybrid(spark, d, k=20):

@@ -15,9 +15,9 @@ from skein.plans.catalogue import HYBRID, KNN, hits, hybrid, table
 PICKS, BUDGET = 3, 3500
 
 
-def candidates(spark, d, k=20):
-    """Each query's k nearest vectors with their documents."""
-    return hits(spark, d, k)
+def candidates(spark, d, k=20, content=False):
+    """Each query's k nearest vectors with their documents, with their texts if asked for."""
+    return hits(spark, d, k, content)
 
 
 def reranked(spark, d):
@@ -30,7 +30,7 @@ def rerank_topk(spark, d):
 
 
 def keyword_overlap(spark, d):
-    return candidates(spark, d).select("query_id", "id", F.round(K.keyword_match(F.col("query"), F.col("content")), 6).alias("share"))
+    return candidates(spark, d, content=True).select("query_id", "id", F.round(K.keyword_match(F.col("query"), F.col("content")), 6).alias("share"))
 
 
 def gate_decision(spark, d):
