@@ -1,70 +1,72 @@
-"""A store of chunk vectors: one Parquet table for each container, written anew by versions."""
+"""A store of chunk vectors: one table for each container, changed by commits."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.embedding import problem
 from skein.functions.vectors import cosine, norm
+from skein.operators.commits import Commit, Commits
 from skein.operators.retrieval import knn
 
 SCHEMA = "chunk_id long, document_id long, content string, embedding array<double>"
+#: Parts of a store by chunk; a change rewrites the parts that it touches.
+BUCKETS = 16
 #: Fixed values of the result cache: entries, seconds, and the cosine above which a question counts as asked before.
 CACHE_ENTRIES, CACHE_SECONDS, CACHE_COSINE = 20, 300, 0.95
 
 
 class ChunkStore:
-    """Chunks (chunk_id, document_id, content, embedding) of one container under `path`.
-
-    Each change writes a new version beside the old one and then names it in a one-row table, so readers see a whole
-    version and a failed write changes nothing."""
+    """Chunks (chunk_id, document_id, content, embedding) of one container under `path`, changed by commits: readers see a
+    whole version, a failed write changes nothing, and of two writers of the same part one gets Conflict."""
 
     def __init__(self, spark: SparkSession, path: str, dimension: int):
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-
-    def _version(self) -> str | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path):
-            return None
-        return self.spark.read.parquet(f"{self.path}/current").first()["version"]
+        self.store = Commits(spark, self.path, {"chunks": (f"bucket int, {SCHEMA}", ("bucket",))})
 
     def all(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}")
+        return self.store.read("chunks").drop("bucket")
+
+    def _check(self, vectors: DataFrame, what: str) -> None:
+        bad = vectors.select(problem(F.col("embedding"), self.dimension).alias("p")).filter("p <> 'low_energy'").first()
+        if bad:
+            raise ValueError(f"{what} is not usable ({bad['p']}); {self.dimension} finite values are needed")
 
-    def _write(self, chunks: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        chunks.select("chunk_id", "document_id", "content", F.col("embedding").cast("array<double>")).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/current")
+    def _replace(self, commit: Commit, rows: DataFrame, buckets: set[int]) -> None:
+        commit.replace("chunks", rows.select("bucket", "chunk_id", "document_id", "content", F.col("embedding").cast("array<double>")), {commit.unit("chunks", b) for b in buckets})
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Put chunks by id; nothing is written if one has another dimension. Of equal ids in one batch the last content by
-        order of embedding and content stays."""
-        bad = chunks.filter(problem(F.col("embedding"), self.dimension) == "dimension").limit(1).count()
-        if bad:
-            raise ValueError(f"a vector does not have {self.dimension} values")
+        """Put chunks by id; nothing is written if a vector has another dimension, NaN or an infinite value. Of equal ids in
+        one batch the last content by order of embedding and content stays."""
+        self._check(chunks, "a vector")
         new = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("content"), F.desc("embedding")))).filter("_n = 1").drop("_n")
-        self._write(self.all().join(new, "chunk_id", "left_anti").unionByName(new.select("chunk_id", "document_id", "content", F.col("embedding").cast("array<double>"))))
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int"))
+        commit = self.store.begin()
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # BUCKETS rows at most
+        old = commit.read("chunks").filter(F.col("bucket").isin(sorted(touched))).join(new, "chunk_id", "left_anti")
+        self._replace(commit, old.unionByName(new.select(*old.columns)), touched)
+        commit.put()
 
     def delete_document(self, document_id: int) -> None:
-        self._write(self.all().filter(~F.col("document_id").eqNullSafe(F.lit(document_id))))
+        commit = self.store.begin()
+        mine = F.col("document_id").eqNullSafe(F.lit(document_id))
+        touched = {r["bucket"] for r in commit.read("chunks").filter(mine).select("bucket").distinct().collect()}
+        if touched:
+            self._replace(commit, commit.read("chunks").filter(F.col("bucket").isin(sorted(touched)) & ~mine), touched)
+            commit.put()
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], SCHEMA))
+        commit = self.store.begin()
+        commit.drop("chunks", set(commit.units["chunks"]))
+        commit.put()
 
     def count(self) -> int:
         return self.all().count()
 
     def search(self, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
         """query_id, chunk_id, similarity, rank of queries (query_id, embedding)."""
-        bad = queries.filter(problem(F.col("embedding"), self.dimension) == "dimension").limit(1).count()
-        if bad:
-            raise ValueError(f"a question's vector does not have {self.dimension} values")
+        self._check(queries, "a question's vector")
         return knn(self.all().withColumnRenamed("chunk_id", "vec_id"), queries, k, floor).withColumnRenamed("vec_id", "chunk_id")
 
 
@@ -79,6 +81,10 @@ class Router:
             self.open[container] = ChunkStore(self.spark, f"{self.root}/container_id={container}", self.dimension)
         return self.open[container]
 
+    def forget(self, container: str) -> None:
+        """A container that was deleted, or whose dimension is another now: its store is opened anew when it is asked for."""
+        self.open.pop(container, None)
+
 
 def cached(queries: DataFrame, cache: DataFrame, now: float) -> DataFrame:
     """query_id, entry: the oldest entry of cache (entry, ts, embedding), among the last CACHE_ENTRIES and not older than

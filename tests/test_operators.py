@@ -96,7 +96,7 @@ def test_files_and_vectors(spark, tmp_path):
     (tmp_path / "in" / "e.rtf").write_bytes(rb"{\rtf1{\fonttbl{\f0 Arial;}}\f0 Some \b bold\b0  text\par}")
     (tmp_path / "in" / "f.bin").write_bytes(b"\xff\xfe\x00")
     every = {r.path.rsplit("/", 1)[1]: (r.error, r.warning) for r in files.dispatch(spark, str(tmp_path / "in")).collect()}
-    assert every == {"a.md": (None, "short"), "b.RS": (None, "short"), "c.txt": ("empty", None), "d.png": ("no_extractor", None), "e.rtf": (None, "short"), "f.bin": ("unsupported_format", None)}
+    assert every == {"a.md": (None, "short"), "b.RS": (None, "short"), "c.txt": ("empty_document", None), "d.png": ("ocr_failed", None), "e.rtf": (None, "short"), "f.bin": ("unsupported_format", None)}
     assert [r.text for r in files.read_texts(spark, str(tmp_path / "in")).filter("path LIKE '%rtf'").collect()] == ["Some bold text"]
     v = spark.createDataFrame([(1, [0.5, 1.0], 2), (2, None, None)], "vec_id long, embedding array<float>, label int")
     files.write_vectors(v, str(tmp_path / "v"))
