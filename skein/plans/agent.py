@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from skein.operators.chain import answers
 from skein.plans.catalogue import KNN, found_texts, hits, table
 from skein.plans.chunks import STOP_WORDS
 from skein.plans.corpus import QUESTIONS
@@ -350,3 +351,89 @@ SELECT conv_id, turn, md5(CASE WHEN length(t) > 500 THEN substring(t, 1, 497) ||
 least(1.0::DOUBLE, greatest(0.0::DOUBLE, similarity)) AS shown, md5(substring(coalesce(content, ''), 1, 150)) AS preview_md5 FROM ({HIT} WHERE near.rank <= 5)""",
     ),
 }
+
+
+def chain_candidates(spark, d, k):
+    """The 4k nearest of each question with texts and vectors, and the question's words with those of its expansions."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("question"))
+    asked_text = q.select("query_id", F.array_join(expansions(F.col("question")), " ").alias("asked"))
+    rows = hits(spark, d, 4 * k).join(asked_text, "query_id").withColumn("chunk_index", F.col("id") % 10)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return found_texts(rows, vectors, 4 * k * q.count())
+
+
+def answer_chain(spark, d, strict=True):
+    n_docs = table(spark, d, "documents").select("source").distinct().count()
+    out = answers(chain_candidates(spark, d, CHAIN_K), CHAIN_K, n_docs, strict)
+    picks = F.array_join(F.transform("picks", lambda x: x.cast("string")), ",")
+    said = F.md5(F.col("context").cast("binary"))
+    return out.select("query_id", "decision", picks.alias("picks"), "n_pass", "n_added", "n_used", said.alias("context_md5"), "confidence", "warnings")
+
+
+def answer_chain_open(spark, d):
+    return answer_chain(spark, d, False)
+
+
+def chain_sql(strict: bool) -> str:
+    """The chain step by step over the same lists."""
+    from skein.plans import ranked
+    from skein.plans.catalogue import HYBRID, TOKENS
+
+    k, weight = CHAIN_K, "0.75" if strict else "0.7"
+    old = HYBRID[HYBRID.index("ask AS (") : HYBRID.index("siz AS (")]
+    expanded = f"""asked AS (SELECT item_id AS query_id, coalesce(text, '') AS question FROM benchmark), syn AS (SELECT query_id, question, {SYN} AS syn FROM asked),
+ver AS (SELECT query_id, array_to_string(list_sort(list_distinct(CASE WHEN {TRIVIAL_SQL} THEN [question, question || ' overview', question || ' summary', question || ' introduction', 'overview', 'summary']
+  ELSE list_concat(list_concat([question], {SWAPS}), list_concat(CASE WHEN len({BEHIND}) > 0 THEN [question || ' ' || array_to_string({BEHIND}, ' ')] ELSE {EMPTY} END,
+  CASE WHEN contains(question, '?') THEN {FORMS} ELSE {EMPTY} END)) END)), ' ') AS asktext FROM syn),
+ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.replace('text', 'asktext')}) AS term FROM ver) GROUP BY ALL),
+"""
+    base = ranked.gate_sql().replace(old, expanded).replace("near.rank <= 40", f"near.rank <= {4 * k}").replace("fused_rank <= 20", f"fused_rank <= {2 * k}")
+    if not strict:
+        base = base.replace("WHEN false OR trivial THEN 0.35::DOUBLE", "WHEN true THEN 0.35::DOUBLE")
+    base += f""",
+src AS MATERIALIZED (SELECT rer.query_id, rer.id, similarity, new_rank, coalesce(source, 'Unknown') AS src, content, rer.query FROM rer),
+kep AS MATERIALIZED (SELECT s.* FROM src s JOIN gat USING (query_id) WHERE (n_pass > 0 AND similarity >= "limit") OR (n_pass = 0 AND decision = 'override')),
+kct AS (SELECT query_id, count(*) AS n, count(DISTINCT src) AS have FROM kep GROUP BY query_id),
+dsr AS (SELECT query_id, count(DISTINCT src) AS every FROM src GROUP BY query_id),
+fst AS (SELECT s.*, row_number() OVER (PARTITION BY query_id, src ORDER BY new_rank) AS f FROM src s WHERE (query_id, src) NOT IN (SELECT query_id, src FROM kep)),
+ext AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_rank) AS turn FROM fst WHERE f = 1),
+pol AS MATERIALIZED (
+  SELECT query_id, id, similarity, src, content, new_rank AS pos FROM kep
+  UNION ALL SELECT e.query_id, e.id, e.similarity, e.src, e.content, 1000 + turn FROM ext e JOIN kct USING (query_id) JOIN dsr USING (query_id)
+    WHERE every > 1 AND turn <= least(least(every, 3) - have, greatest({2 * k}, n) - n)),
+vec AS MATERIALIZED (SELECT p.*, e.embedding::DOUBLE[] AS e FROM pol p LEFT JOIN embeddings e ON e.vec_id = p.id),
+p1 AS MATERIALIZED (SELECT *, 1::BIGINT AS pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS r FROM vec) WHERE r = 1)"""
+    for i in range(2, k + 1):
+        taken = " UNION ALL ".join(f"SELECT query_id, id, e FROM p{j}" for j in range(1, i))
+        base += f""",
+p{i} AS MATERIALIZED (SELECT * EXCLUDE (v, r), 0 AS r, {i}::BIGINT AS pick FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, pos) AS r FROM (
+  SELECT c.query_id, c.id, c.similarity, c.src, any_value(c.content) AS content, c.pos, any_value(c.e) AS e,
+    round({weight}::DOUBLE * c.similarity - (1 - {weight}::DOUBLE) * greatest(0, max(list_cosine_similarity(c.e, t.e))), 9) AS v
+  FROM vec c JOIN ({taken}) t USING (query_id) GROUP BY c.query_id, c.id, c.similarity, c.src, c.pos HAVING NOT bool_or(c.id = t.id))) WHERE r = 1)"""
+    picked = " UNION ALL ".join(f"SELECT query_id, id, similarity, src, content, pick FROM p{i}" for i in range(1, k + 1))
+    blocked = "n_pass_top < 3 AND NOT override AND NOT trivial" if strict else "false"
+    block = "'[Document Chunk ' || pick || ', Similarity: ' || printf('%.3f', similarity) || ']' || chr(10) || coalesce(content, '') || CASE WHEN pick = count(*) OVER (PARTITION BY query_id) THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END"
+    return f"""WITH {base},
+fal AS (SELECT query_id, id, similarity, src, content, new_rank AS pick FROM src JOIN gat USING (query_id) WHERE n_pass = 0 AND decision <> 'override' AND new_rank <= {max(k, 3)}),
+sel AS MATERIALIZED (SELECT *, true AS main FROM ({picked}) UNION ALL SELECT *, false FROM fal),
+blk AS (SELECT query_id, pick, id, {block} AS b, main FROM sel),
+tot AS (SELECT *, sum(length(b)) OVER (PARTITION BY query_id ORDER BY pick ROWS UNBOUNDED PRECEDING) AS total FROM blk),
+ctx AS (SELECT query_id, count(*) AS n_used, string_agg(b, '' ORDER BY pick) AS context FROM tot WHERE pick = 1 OR total <= CASE WHEN main THEN 3500 ELSE 2500 END GROUP BY query_id),
+agg AS (SELECT query_id, any_value(main) AS main, count(*) AS n, count(DISTINCT src) AS s, max(similarity) FILTER (pick = 1) AS top1, string_agg(id::VARCHAR, ',' ORDER BY pick) AS picks,
+  string_agg(id::VARCHAR, ',' ORDER BY pick) FILTER (main OR pick <= 99) AS every, count(*) FILTER (similarity >= 0.52) AS n_pass_top FROM sel GROUP BY query_id),
+add AS (SELECT query_id, count(*) AS n_added FROM pol WHERE pos > 1000 GROUP BY query_id),
+nwd AS (SELECT query_id, any_value(len({ranked.SPLIT.format('query')})) AS words FROM src GROUP BY query_id), dcs AS (SELECT count(DISTINCT source) AS docs FROM documents),
+jnd AS (SELECT *, main AND {blocked} AS stop FROM agg JOIN gat USING (query_id) JOIN ctx USING (query_id) LEFT JOIN add USING (query_id) JOIN nwd USING (query_id), dcs)
+SELECT query_id, CASE WHEN stop THEN 'strict_blocked' ELSE decision END AS decision,
+  CASE WHEN main THEN picks ELSE (SELECT string_agg(x, ',') FROM (SELECT unnest(string_split(picks, ',')[:n_used]) AS x)) END AS picks, n_pass, coalesce(n_added, 0) AS n_added,
+  CASE WHEN stop THEN 0 ELSE n_used END AS n_used, md5(CASE WHEN stop THEN '' ELSE context END) AS context_md5,
+  CASE WHEN stop OR NOT main THEN 0.0::DOUBLE ELSE round(0.5::DOUBLE * least(top1 / 0.8::DOUBLE, 1) + 0.2::DOUBLE * least(n / 5, 1) + 0.2::DOUBLE * least(s / docs, 1) + 0.1::DOUBLE * least(words / 5, 1), 6) END AS confidence,
+  CASE WHEN stop THEN 'Strict mode: insufficient supporting evidence' WHEN NOT main THEN 'Low-confidence retrieval: answered using extractive on-device analysis' ELSE
+    array_to_string(list_filter([CASE WHEN top1 < 0.4 THEN 'Low relevance' WHEN top1 < 0.6 THEN 'Moderate relevance' END, CASE WHEN n < 3 THEN 'Limited context' END,
+    CASE WHEN s = 1 AND docs > 1 THEN 'Single source' END, CASE WHEN words <= 2 THEN 'Generic query' END], lambda x: x IS NOT NULL), '; ') END AS warnings
+FROM jnd"""
+
+
+#: Rows of an answer in the registered chain; its lists are 4k nearest and 2k fused.
+CHAIN_K = 5
+QUERIES |= {"answer_chain": (answer_chain, chain_sql(True)), "answer_chain_open": (answer_chain_open, chain_sql(False))}
