@@ -19,8 +19,8 @@ K1, B, FUSION, VECTOR_WEIGHT, KEYWORD_WEIGHT = 1.5, 0.75, 60, 0.7, 0.3
 def knn(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """query_id, vec_id, similarity, rank: each query's k most similar vectors, ties by vec_id.
 
-    The queries are a stated set; each batch of vectors meets a block of them in one matrix product and keeps k for each
-    query, so what is shuffled is k rows a batch and query. Cosine is 0 for zero vectors and those of another size."""
+    The queries are a stated set; each batch of vectors meets a block of them in one matrix product and a task keeps k
+    for each query, so what is shuffled is k rows a task and query. Cosine is 0 for zero vectors and those of another size."""
     spark = vectors.sparkSession
     asked = queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toPandas()
     dims = sorted({len(e) for e in asked["embedding"]})
@@ -47,6 +47,8 @@ def nearest(shared, dim: int, k: int, floor: float | None):
         ids, q = np.array(shared.value[0], np.int64), np.array(shared.value[1], float).reshape(-1, dim)
         unit = lambda x: x / np.where((n := np.sqrt((x * x).sum(axis=1, keepdims=True))) > 0, n, np.inf)
         q = unit(q)
+        # the k best of the task so far: what is shuffled is k rows a task and query
+        held = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
         for b in batches:
             b = b[b["embedding"].notna()]
             if not len(b):
@@ -59,11 +61,16 @@ def nearest(shared, dim: int, k: int, floor: float | None):
                 x[fits] = np.stack(rows[fits]).astype(float)
             x = unit(x)
             for at in range(0, len(q), QUERY_BLOCK):
-                sim = np.round(q[at : at + QUERY_BLOCK] @ x.T, 6) + 0.0
+                part = slice(at, at + QUERY_BLOCK)
+                sim = np.round(q[part] @ x.T, 6) + 0.0
                 top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(sim, top, axis=1)
-                out = pd.DataFrame({"query_id": np.repeat(ids[at : at + QUERY_BLOCK], top.shape[1]), "vec_id": vec[top].ravel(), "similarity": value.ravel()})
-                yield out if floor is None else out[out["similarity"] >= floor]
+                both = np.concatenate([held[0][part], np.take_along_axis(sim, top, axis=1)], axis=1), np.concatenate([held[1][part], vec[top]], axis=1)
+                best = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+                held[0][part], held[1][part] = (np.take_along_axis(z, best, axis=1) for z in both)
+        for at in range(0, len(q), QUERY_BLOCK):
+            sim, vec = (z[at : at + QUERY_BLOCK] for z in held)
+            real = np.isfinite(sim) if floor is None else sim >= floor
+            yield pd.DataFrame({"query_id": np.repeat(ids[at : at + QUERY_BLOCK], real.sum(axis=1)), "vec_id": vec[real], "similarity": sim[real]})
 
     return run
 
@@ -123,6 +130,8 @@ def bm25_scores(asked, n: int, average: float, df: dict, k: int, k1: float, b: f
         at = np.argsort([t for _, t, _ in terms], kind="stable")
         q, t, times = (np.array([r[i] for r in terms])[at] for i in range(3)) if terms else (np.zeros(0, int),) * 3
         first = np.searchsorted(t, np.arange(len(number) + 1))
+        # the k best of the task so far, as sorted triples; only pairs that share a term are formed
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 x = batch.iloc[start : start + 2000]
@@ -133,14 +142,17 @@ def bm25_scores(asked, n: int, average: float, df: dict, k: int, k1: float, b: f
                 part = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * x["size"].to_numpy()[doc] / average))
                 many = first[term + 1] - first[term]
                 who = np.repeat(first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                cell = q[who] * len(x) + np.repeat(doc, many)
-                score = np.round(np.bincount(cell, np.repeat(part, many) * times[who], minlength=len(ids) * len(x)).reshape(len(ids), len(x)), 6)
-                doc_id = x["doc_id"].to_numpy()
-                for i, row in enumerate(score):
-                    hit = np.flatnonzero(row > 0)
-                    hit = hit[np.lexsort((doc_id[hit], -row[hit]))[:k]]
-                    if len(hit):
-                        yield pd.DataFrame({"query_id": ids[i], "doc_id": doc_id[hit], "score": row[hit]})
+                pair, place = np.unique(q[who] * len(x) + np.repeat(doc, many), return_inverse=True)
+                score = np.round(np.bincount(place, np.repeat(part, many) * times[who], minlength=len(pair)), 6)
+                hit = score > 0
+                new = pair[hit] // len(x), x["doc_id"].to_numpy()[pair[hit] % len(x)], score[hit]
+                held = tuple(np.concatenate([a, c]) for a, c in zip(held, new))
+                order = np.lexsort((held[1], -held[2], held[0]))
+                held = tuple(a[order] for a in held)
+                starts = np.flatnonzero(np.diff(held[0], prepend=-1))
+                rank = np.arange(len(held[0])) - np.repeat(starts, np.diff(np.append(starts, len(held[0]))))
+                held = tuple(a[rank < k] for a in held)
+        yield pd.DataFrame({"query_id": np.array(ids, np.int64)[held[0]], "doc_id": held[1], "score": held[2]})
 
     return run
 
