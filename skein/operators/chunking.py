@@ -88,10 +88,30 @@ FEATURES = ("section_title", "distinct_words", "has_numeric", "has_list", "keywo
 KEYWORDS = 5
 
 
-def keywords(part: str, stop: frozenset) -> list[str]:
-    """The most frequent words of three or more letters that are not in stop, ties by the word."""
+def counted(part: str, stop: frozenset, most: int = KEYWORDS) -> list[tuple[str, int]]:
+    """The most frequent words of three or more letters that are not in stop, with their counts, ties by the word."""
     n = Counter(w for w in TOKEN.findall(part.lower()) if len(w) > 2 and w not in stop)
-    return sorted(n, key=lambda w: (-n[w], w))[:KEYWORDS]
+    return sorted(n.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
+def keywords(part: str, stop: frozenset) -> list[str]:
+    return [w for w, _ in counted(part, stop)]
+
+
+def document_keywords(docs: DataFrame, stop: frozenset, most: int = KEYWORDS) -> DataFrame:
+    """doc_id, term, n, rank of each row of docs (doc_id, text): its most frequent words. Words are counted inside the row, so
+    nothing is shuffled."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = zip(b["doc_id"].iloc[at : at + 500], b["text"].iloc[at : at + 500])
+                rows = [(i, w, n, r) for i, t in part for r, (w, n) in enumerate(counted(t or "", stop, most), 1)]
+                yield pd.DataFrame(rows, columns=["doc_id", "term", "n", "rank"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, term string, n long, rank long")
 
 
 def chunk_rows(doc_id, text: str, target: int, least: int, overlap: int, most: int | None, features: bool, stop: frozenset) -> Iterator[tuple]:

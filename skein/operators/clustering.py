@@ -35,24 +35,44 @@ def same_size(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").filter(F.size("embedding") == dim)
 
 
+#: Matrices that come to the driver.
+MERGED = 16
+
+
 def moments(vectors: DataFrame, dim: int):
-    """Number, mean and covariance of the vectors: each task sums its rows, dim * (dim + 1) numbers a task come back."""
+    """Number, mean and covariance of the vectors: each task sums its rows, the tasks' sums are added in MERGED tasks, and as
+    many matrices of dim * (dim + 1) numbers come to the driver, whatever the number of rows."""
     import numpy as np
 
-    def run(batches):
+    schema = "n long, total array<double>, gram array<double>"
+
+    def made(n, total, gram):
         import pandas as pd
 
+        return pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.ravel().tolist()]})
+
+    def run(batches):
         n, total, gram = 0, np.zeros(dim), np.zeros((dim, dim))
         for b in batches:
             if len(b):
                 x = np.stack(b["embedding"].to_numpy()).astype(float)
                 n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
-        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.ravel().tolist()]})
+        if n:
+            yield made(n, total, gram)
+
+    def merge(batches):
+        n, total, gram = 0, np.zeros(dim), np.zeros(dim * dim)
+        for b in batches:
+            for row in b.itertuples():
+                n, total, gram = n + row.n, total + row.total, gram + row.gram
+        if n:
+            yield made(n, total, gram)
 
-    parts = same_size(vectors, dim).select("embedding").mapInPandas(run, "n long, total array<double>, gram array<double>").toPandas()
+    sums = same_size(vectors, dim).select("embedding").mapInPandas(run, schema)
+    parts = sums.repartition(MERGED).mapInPandas(merge, schema).toPandas()  # MERGED rows at most
     n = int(parts["n"].sum())
-    mean = np.sum([np.array(t) for t in parts["total"]], axis=0) / max(n, 1)
-    gram = np.sum([np.array(g) for g in parts["gram"]], axis=0).reshape(dim, dim)
+    mean = np.sum([np.array(t) for t in parts["total"]], axis=0) / max(n, 1) if n else np.zeros(dim)
+    gram = np.sum([np.array(g) for g in parts["gram"]], axis=0).reshape(dim, dim) if n else np.zeros((dim, dim))
     return n, mean, gram / max(n, 1) - np.outer(mean, mean)
 
 

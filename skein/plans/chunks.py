@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -148,11 +147,7 @@ def range_join_pages(spark, d):
 
 def keywords_topn(spark, d):
     """The five most frequent words of three or more letters that no list of frequent words has, ties by the word."""
-    stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    term = docs(spark, d).select("doc_id", F.explode(T.word_tokens(F.col("text"))).alias("term"))
-    n = term.filter((F.char_length("term") > 2) & ~F.col("term").isin(stop)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
-    return n.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("doc_id", "term", "n", F.col("rank").cast("long"))
+    return C.document_keywords(docs(spark, d), frozenset(w for words in STOP_WORDS.values() for w in words))
 
 
 SENTENCES = r"len(regexp_extract_all(coalesce(text, ''), '[.!?]+(\s|$)'))"
