@@ -6,10 +6,11 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from skein.functions.mixing import GOLDEN, container_seed, shuffled_key
-from skein.plans.catalogue import table
+from skein.plans.catalogue import KNN, found_texts, hits, table
 from skein.plans.flows import ENTITLEMENT_SQL, entitlement_states
 from skein.plans.ledger import EV
 from skein.plans.ledger import events as told
+from skein.streaming.stateful import PACK_DOCUMENTS
 
 #: Of the sampling queries: rows a container and in all.
 SAMPLE, EACH_LEAST, ALL = 200, 1, 60
@@ -128,6 +129,47 @@ def sanitize_stream(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.md5(cleaned(text, first).cast("binary")).alias("clean_md5"))
 
 
+def chunk_hit_report(spark, d):
+    """Each chunk that questions retrieved: hits, mean similarity, last question, container and the start of its text, in the
+    report's order. Hits are counted on rows without texts; then each chunk's text comes once."""
+    h = hits(spark, d, 10, content=False).groupBy("id").agg(F.count("*").alias("hits"), F.round(F.avg("similarity"), 6).alias("similarity"), F.max("query_id").alias("last"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"), "source")
+    place = F.row_number().over(Window.orderBy(F.desc("hits"), F.desc("last"), "id"))  # a report of what was hit
+    line = F.trim("t", F.lit(" \n\t\r"))
+    snippet = F.when(F.char_length(line) > SNIPPET, F.concat(F.substring(line, 1, SNIPPET), F.lit("…"))).otherwise(line)
+    out = found_texts(h.withColumn("place", place), docs, 10 * table(spark, d, "benchmark").count())
+    return out.select("place", "id", "hits", "similarity", "last", F.coalesce("source", F.lit("Unknown")).alias("name"), F.coalesce(snippet, F.lit("")).alias("snippet"))
+
+
+def retrieval_totals(spark, d):
+    """Retrieved chunks of the questions by container, each container as the filter, and the one without a filter."""
+    h = hits(spark, d, 10, content=False).select("query_id", F.coalesce("source", F.lit("Unknown")).alias("container"))
+    each = h.groupBy("container").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_chunks"))
+    every = h.agg(F.lit("all").alias("container"), F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_chunks"))
+    return each.unionByName(every)
+
+
+def download_validate(spark, d):
+    """Pages as downloads: under 1024 bytes and a digest that is not the listed one (that of the trimmed page) fail; the file's
+    name is the last part of the address, its host, or the id."""
+    body = F.coalesce("html", F.lit(""))
+    listed = F.sha2(F.trim(body, F.lit(" \n\t\r")).cast("binary"), 256)
+    problem = F.when(F.octet_length(body) < LEAST_BYTES, "too small").when(F.sha2(body.cast("binary"), 256) != listed, "checksum mismatch")
+    bare = F.regexp_replace(F.coalesce("url", F.lit("")), "[?#].*$", "")
+    part = lambda p: F.nullif(F.regexp_extract(bare, p, 1), F.lit(""))
+    name = F.coalesce(part("^[a-z]+://[^/]+/(?:.*/)?([^/]+)$"), part("^[a-z]+://([^/]+)"), F.col("page_id").cast("string"))
+    return table(spark, d, "pages").select("page_id", name.alias("name"), F.octet_length(body).cast("long").alias("n_bytes"), problem.alias("problem"))
+
+
+def legacy_packs(spark, d):
+    """Users' old counts of packs (purchases of 50 and less) as rows of the ledger, three at most."""
+    n = F.count_if((F.col("event_type") == "purchase") & (F.col("value") <= 50))
+    old = table(spark, d, "events").groupBy("user_id").agg(n.alias("n")).filter("n > 0")
+    return old.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(3)).cast("long"))).alias("pack"), F.lit(PACK_DOCUMENTS).cast("long").alias("credits"))
+
+
+#: Characters of a snippet, least bytes of a download.
+SNIPPET, LEAST_BYTES = 180, 1024
 WRAP = "18446744073709551616::UHUGEINT"
 
 
@@ -141,7 +183,33 @@ KEY = "upper(lpad(to_hex(({0})::UHUGEINT), 16, '0'))"
 SEED = "(xor(('0x' || md5(coalesce(source, ''))[1:16])::UBIGINT, ('0x' || md5(coalesce(source, ''))[17:32])::UBIGINT))::UHUGEINT"
 STATE = f"({{0}} + (doc_id::UHUGEINT * {GOLDEN}::UHUGEINT) % {WRAP}) % {WRAP}"
 
+CAND = f"{KNN}, cand AS (SELECT query_id, vec_id AS id, near.similarity, d.text, d.source FROM near LEFT JOIN documents d ON d.doc_id = near.vec_id WHERE rank <= 10)"
+BODY = "coalesce(html, '')"
+BARE_URL = "regexp_replace(coalesce(url, ''), '[?#].*$', '')"
+
 QUERIES = {
+    "chunk_hit_report": (
+        chunk_hit_report,
+        f"""WITH {CAND}, h AS (SELECT id, count(*) AS hits, round(avg(similarity), 6) AS similarity, max(query_id) AS last, any_value(source) AS source, any_value(trim(coalesce(text, ''), ' ' || chr(10) || chr(9) || chr(13))) AS t FROM cand GROUP BY id)
+SELECT row_number() OVER (ORDER BY hits DESC, last DESC, id)::INT AS place, id, hits, similarity, last, coalesce(source, 'Unknown') AS name,
+  CASE WHEN length(t) > {SNIPPET} THEN t[:{SNIPPET}] || '…' ELSE coalesce(t, '') END AS snippet FROM h""",
+    ),
+    "retrieval_totals": (
+        retrieval_totals,
+        f"""WITH {CAND}, h AS (SELECT query_id, coalesce(source, 'Unknown') AS container FROM cand)
+SELECT container, count(DISTINCT query_id) AS n_queries, count(*) AS n_chunks FROM h GROUP BY container UNION ALL SELECT 'all', count(DISTINCT query_id), count(*) FROM h""",
+    ),
+    "download_validate": (
+        download_validate,
+        f"""SELECT page_id, coalesce(nullif(regexp_extract({BARE_URL}, '^[a-z]+://[^/]+/(?:.*/)?([^/]+)$', 1), ''), nullif(regexp_extract({BARE_URL}, '^[a-z]+://([^/]+)', 1), ''), page_id::VARCHAR) AS name,
+  octet_length(encode({BODY}))::BIGINT AS n_bytes, CASE WHEN octet_length(encode({BODY})) < {LEAST_BYTES} THEN 'too small'
+  WHEN sha256({BODY}) <> sha256(trim({BODY}, ' ' || chr(10) || chr(9) || chr(13))) THEN 'checksum mismatch' END AS problem FROM pages""",
+    ),
+    "legacy_migration": (
+        legacy_packs,
+        """WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'purchase' AND value <= 50) AS n FROM events GROUP BY user_id)
+SELECT user_id, unnest(range(1, least(n, 3) + 1)) AS pack, 25::BIGINT AS credits FROM n WHERE n > 0""",
+    ),
     "container_seed": (
         container_seeds,
         f"SELECT source, CASE WHEN s > 9223372036854775807::UHUGEINT THEN (s::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE s::BIGINT END AS seed FROM (SELECT source, {SEED} AS s FROM documents GROUP BY source)",
