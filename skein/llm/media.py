@@ -145,7 +145,8 @@ def sniff_media(frame: DataFrame, key: str, content: str, declared: str | None =
     and mismatch, media (the carved bytes).
 
     Defined results: null or empty values and values without a medium give no row; repeated rows each give
-    theirs; nulls in key or declared type are carried, and a null declared type is a mismatch."""
+    theirs; nulls in key or declared type are carried, and a null declared type is a mismatch; very long values are
+    searched whole; an empty table gives no rows; other columns are ignored, so that their names can't clash."""
     from pyspark.sql import functions as F
 
     def run(batches: Iterator) -> Iterator:

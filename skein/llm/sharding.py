@@ -47,6 +47,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, order_by: list[str], size: Co
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
+    """A null text counts as an empty one, of size 1; repeated rows each take their place; very long texts are one row."""
     from .common import table, text_of
 
     docs = table(spark, sf_dir, "documents")
