@@ -12,7 +12,16 @@ from skein.sources.files import TYPES, detect_type
 #: Phrases that open a new topic, headings, small talk, question forms.
 TOPIC_PHRASES = ["However,", "Moreover,", "Furthermore,", "In contrast,", "On the other hand,", "Additionally,", "Nevertheless,", "Consequently,", "In conclusion,", "To summarize,"]
 SMALL_TALK = ["hi", "hello", "hey", "yo", "sup", "ok", "thanks", "thank you", "bye", "goodbye", "hola", "hiya"]
-QUESTIONS = [("How do I ", "Instructions for "), ("How to ", "Procedure for "), ("What is ", "Information about "), ("What are ", "Details on "), ("When should ", "Timing for "), ("Why ", "Reason for "), ("Can I ", "Possibility of "), ("Where ", "Location of ")]
+QUESTIONS = [
+    ("How do I ", "Instructions for "),
+    ("How to ", "Procedure for "),
+    ("What is ", "Information about "),
+    ("What are ", "Details on "),
+    ("When should ", "Timing for "),
+    ("Why ", "Reason for "),
+    ("Can I ", "Possibility of "),
+    ("Where ", "Location of "),
+]
 
 
 def topic_boundaries(spark, d):
@@ -33,17 +42,22 @@ def chunk_density(spark, d):
 def feature_rates(spark, d):
     t = F.col("text")
     rate = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), rate(T.has_number(t)).alias("numeric"), rate(T.has_list(t)).alias("lists"), rate(T.word_count(t)).alias("avg_words"))
+    rates = [rate(T.has_number(t)).alias("numeric"), rate(T.has_list(t)).alias("lists"), rate(T.word_count(t)).alias("avg_words")]
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), *rates)
 
 
 def audit_sha(spark, d):
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", F.md5(F.substring(t, 1, 160).cast("binary")).alias("preview_md5"), F.char_length(t).cast("long").alias("n_chars"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("sha256"))
+    preview = F.md5(F.substring(t, 1, 160).cast("binary")).alias("preview_md5")
+    sizes = [F.char_length(t).cast("long").alias("n_chars"), F.octet_length(t).cast("long").alias("n_bytes")]
+    return table(spark, d, "documents").select("doc_id", preview, *sizes, F.sha2(t.cast("binary"), 256).alias("sha256"))
 
 
 def filesize_label(spark, d):
     n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return table(spark, d, "documents").select("doc_id", F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(F.floor(n / 1024).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.floor(n / 1048576).cast("string"), F.lit(" MB"))).alias("size"))
+    of = lambda by, unit: F.concat(F.floor(n / by).cast("string"), F.lit(unit))
+    size = F.when(n < 1024, of(1, " B")).when(n < 1048576, of(1024, " KB")).otherwise(of(1048576, " MB"))
+    return table(spark, d, "documents").select("doc_id", size.alias("size"))
 
 
 def sanitize(spark, d):
@@ -127,7 +141,8 @@ QUERIES = {
     "topic_boundaries": (topic_boundaries, "SELECT doc_id, (" + " + ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) // {len(p)}" for p in TOPIC_PHRASES) + ")::BIGINT AS n_boundaries FROM documents"),
     "bm25_df": (bm25_df, f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents) GROUP BY term"),
     "chunk_density": (chunk_density, f"SELECT doc_id, round(len(list_distinct({LOWER_WORDS}))::DOUBLE / greatest(len({LOWER_WORDS}), 1), 6) AS density FROM documents"),
-    "feature_rates": (feature_rates, f"SELECT source, count(*) AS n, round(avg(coalesce(regexp_matches(text, '[0-9]'), false)::INT), 6) AS numeric, round(avg(coalesce(regexp_matches(text, '(^|\\n)[ ]*([-*]|[0-9]+\\.) '), false)::INT), 6) AS lists, round(avg(len({WORDS})), 6) AS avg_words FROM documents GROUP BY source"),
+    "feature_rates": (feature_rates, f"SELECT source, count(*) AS n, round(avg(coalesce(regexp_matches(text, '[0-9]'), false)::INT), 6) AS numeric, "
+        f"round(avg(coalesce(regexp_matches(text, '(^|\\n)[ ]*([-*]|[0-9]+\\.) '), false)::INT), 6) AS lists, round(avg(len({WORDS})), 6) AS avg_words FROM documents GROUP BY source"),
     "audit_sha": (audit_sha, "SELECT doc_id, md5(substring(coalesce(text, ''), 1, 160)) AS preview_md5, length(coalesce(text, '')) AS n_chars, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents"),
     "filesize_label": (filesize_label, "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN (n // 1024) || ' KB' ELSE (n // 1048576) || ' MB' END AS size FROM (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents)"),
     "sanitize": (sanitize, "SELECT conv_id, turn, md5(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) AS clean_md5 FROM conversations"),
@@ -135,10 +150,12 @@ QUERIES = {
     "unlabelled_docs": (unlabelled_docs, "SELECT source, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY source"),
     "quota_check": (quota_check, "SELECT source, count(*) AS n, count(*) < 40 AS below_limit FROM documents GROUP BY source"),
     "sample_stratified": (sample_stratified, "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id)) AS n FROM documents) WHERE n <= 5"),
-    "effective_topk": (effective_topk, f"SELECT conv_id, turn, CASE WHEN n <= 2 THEN 3::BIGINT ELSE 10::BIGINT END AS k, n <= 2 AND t IN ({', '.join(repr(x) for x in SMALL_TALK)}) AS small_talk FROM (SELECT *, lower(trim(coalesce(text, ''), ' ')) AS t, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n FROM conversations)"),
+    "effective_topk": (effective_topk, f"SELECT conv_id, turn, CASE WHEN n <= 2 THEN 3::BIGINT ELSE 10::BIGINT END AS k, "
+        f"n <= 2 AND t IN ({', '.join(repr(x) for x in SMALL_TALK)}) AS small_talk FROM (SELECT *, lower(trim(coalesce(text, ''), ' ')) AS t, len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '')) AS n FROM conversations)"),
     "average_durations": (average_durations, "SELECT event_type, round(sum(coalesce(value, 0)) / count(*), 4) AS avg_duration FROM events GROUP BY event_type"),
     "live_metrics": (live_metrics, "SELECT event_type, arg_max(value, (ts, event_id)) AS latest, max(event_id) AS last_id FROM events GROUP BY event_type"),
-    "activity_sessions": (activity_sessions, "WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, true)::BIGINT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY ALL"),
+    "activity_sessions": (activity_sessions, "WITH g AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000, true)::BIGINT AS new FROM events "
+        "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM g) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY ALL"),
     "day_dividers": (day_dividers, "SELECT user_id, count(*) AS n_dividers FROM (SELECT user_id, coalesce(ts::DATE <> lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY ts, event_id), true) AS new FROM events) WHERE new GROUP BY user_id"),
     "daily_counts": (daily_counts, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
     "file_types": (file_types, f"SELECT page_id, CASE {NAMED} ELSE 'unknown' END AS type FROM (SELECT page_id, lower(regexp_extract(url, '\\.([^./]+)$', 1)) AS e FROM pages)"),
