@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import islice
 
 from pyspark.sql import DataFrame
@@ -114,33 +114,35 @@ def document_keywords(docs: DataFrame, stop: frozenset, most: int = KEYWORDS) ->
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, term string, n long, rank long")
 
 
-def chunk_rows(doc_id, text: str, target: int, least: int, overlap: int, most: int | None, features: bool, stop: frozenset) -> Iterator[tuple]:
+def chunk_rows(doc_id, text: str, target: int, least: int, overlap: int, most: int | None, features: tuple[str, ...], stop: frozenset) -> Iterator[tuple]:
     cut = spans(text, target, least, overlap, most)
     single = len(cut) == 1 and cut[0] == (0, len(text)) and len(TOKEN.findall(text)) < least
-    heads = sections(text) if features and cut and not single else []
+    heads = sections(text) if "section_title" in features and cut and not single else []
     # what is left behind the last chunk: more than the rest that is dropped anyhow
     lost = bool(cut) and len(text) - cut[-1][1] >= REST
     for i, (a, b) in enumerate(cut):
         part = text[a:b]
         row = doc_id, i, a, b, part, len(TOKEN.findall(part)), b - a, lost
-        if not features:
-            yield row
-        elif single:
-            yield *row, None, None, DIGIT.search(part) is not None, "•" in part or re.match(r"\d+\.", part) is not None, keywords(part, stop)
-        else:
-            distinct = len({w for w in part.lower().split(" ") if w})
-            title = next((t for t, x, y in heads if x <= a < y), None)
-            yield *row, title, distinct, DIGIT.search(part) is not None, any(c in part for c in "•-*"), keywords(part, stop)
+        made = {
+            "section_title": lambda: next((t for t, x, y in heads if x <= a < y), None),
+            "distinct_words": lambda: None if single else len({w for w in part.lower().split(" ") if w}),
+            "has_numeric": lambda: DIGIT.search(part) is not None,
+            "has_list": lambda: "•" in part or re.match(r"\d+\.", part) is not None if single else any(c in part for c in "•-*"),
+            "keywords": lambda: keywords(part, stop),
+        }
+        yield *row, *(made[f]() for f in features)
 
 
-def chunks(docs: DataFrame, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP, most: int | None = MOST, features: bool = True, stop: frozenset = frozenset()) -> DataFrame:
-    """The chunks of docs (doc_id, text), with their features if asked for (a batch function's columns can't be pruned).
+def chunks(docs: DataFrame, target: int = TARGET, least: int = LEAST, overlap: int = OVERLAP, most: int | None = MOST, features: bool | Collection[str] = True, stop: frozenset = frozenset()) -> DataFrame:
+    """The chunks of docs (doc_id, text), with their features, all or those named, if asked for (a batch
+    function's columns can't be pruned).
 
     A null or empty text has none. Of a text with more than `most` chunks the rest is left out and `truncated` says so on each
     of its chunks; most=None covers every text. semantic_density is distinct words by words, 0.5 for a text that stays whole; keywords
     are the chunk's most frequent words but for those of stop."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    made = [n for n in names if features or n not in FEATURES]
+    wanted = FEATURES if features is True else tuple(f for f in FEATURES if features and f in features)
+    made = [n for n in names if n in wanted or n not in FEATURES]
     schema = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in made)
 
     def run(batches: Iterator) -> Iterator:
@@ -149,11 +151,11 @@ def chunks(docs: DataFrame, target: int = TARGET, least: int = LEAST, overlap: i
         for b in batches:
             for at in range(0, len(b), 200):
                 part = zip(b["doc_id"].iloc[at : at + 200], b["text"].iloc[at : at + 200])
-                rows = [r for i, t in part for r in chunk_rows(i, t or "", target, least, overlap, most, features, stop)]
+                rows = [r for i, t in part for r in chunk_rows(i, t or "", target, least, overlap, most, wanted, stop)]
                 yield pd.DataFrame(rows, columns=made)
 
     out = docs.select("doc_id", "text").mapInPandas(run, schema)
-    if not features:
+    if "distinct_words" not in wanted:
         return out
     ratio = F.round(F.col("distinct_words") / F.greatest(F.col("word_count"), F.lit(1)), 6)
     return out.withColumn("semantic_density", F.coalesce(ratio, F.lit(0.5)))

@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
 from skein.operators import chunking as C
+from skein.plans.chunks import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +53,24 @@ def test_keywords_of_documents_and_chunks(spark):
     got = sorted((r.doc_id, r["rank"], r.term, r.n) for r in C.document_keywords(docs, frozenset(["the"])).collect())
     assert got == [(1, 1, "again", 2), (1, 1, "fox", 3), (1, 2, "red", 2), (1, 3, "dog", 1)]
     assert C.chunks(docs, stop=frozenset(["the"])).filter("doc_id = 1").first().keywords == ["fox", "red", "dog"]
+
+
+def test_section_titles_equal_sql_on_texts_with_headings_of_their_own(spark, tmp_path):
+    line = "Some words of a long line that goes on and on, line {}."
+    numbered = "\n".join(f"{i}. " + line.format(i) for i in range(1, 300))
+    capitals = " ".join(["LOUD WORDS WITHOUT END"] * 300)
+    marked = "\n".join(f"## Part {i} of the whole\n" + line.format(i) for i in range(200))
+    # "word" with the six words of the headings put around it: 99 and 100
+    texts = [numbered, capitals, marked, "few words", "", None, "word " * 93, "word " * 94, "a  b " * 600]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100, numbered, None), (None, numbered, "en"), (0, numbered, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    query, sql = QUERIES["section_titles"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = query(spark, str(tmp_path)).select("doc_id", "chunk_index", "section_title").collect()
+    want = con.execute(f"SELECT doc_id, chunk_index, section_title FROM ({sql})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and [r[0] for r in sorted(want)] == [0, 0, 1, 2, 7, 8]
+    # the operator keeps the titles of later chunks
+    later = C.chunks(docs.filter("doc_id < 2")).filter("chunk_index > 0 AND section_title IS NOT NULL")
+    assert {r.doc_id for r in later.select("doc_id").collect()} == {0, 1}
